@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions import normal
 from shopfloor.functions.maths import ratio
-from shopfloor.operators.sequence import dense_sequence
+from shopfloor.operators.sequence import attach_group, chunked, dense_sequence
 
 VALIDATED_UP_TO = 5000
 
@@ -35,7 +35,8 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str, row_id: str, al
     stats = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.var_samp("_x") * (F.count(F.lit(1)) - 1)).alias("_ss")
     )
-    ranked = dense_sequence(values, keys, ["_x", "_id"], out="_seq").join(stats.select(*keys, "n"), keys)
+    rows, partition = chunked(dense_sequence(values, keys, ["_x", "_id"], out="_seq"), keys, "_seq", lead_in=0)
+    ranked = attach_group(rows, partition, stats.select(*keys, "n"), keys, "n")
     n, rank, x = F.col("n").cast("double"), F.col("_seq") + 1.0, F.col("_x")
 
     def at(position: Column) -> Column:

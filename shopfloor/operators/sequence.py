@@ -8,7 +8,8 @@ large inputs:
   (group, order), which splits a hot group over many tasks;
 * ``chunked`` cuts the numbered rows into pieces of bounded length, each with
   copies of the few rows before it, so a bounded ROWS frame can run per piece;
-* ``running_sum`` adds per-piece totals to per-piece running sums.
+* ``running_sum`` adds per-piece totals to per-piece running sums;
+* ``join_groups`` salts a lookup whose row side may have hot keys.
 
 An input whose size estimate fits one task comfortably skips all of this and
 uses an ordinary window. The estimate is the planner's own, as for broadcasts.
@@ -25,21 +26,29 @@ from shopfloor.sources.staging import stage
 
 SMALL_BYTES = "shopfloor.smallBytes"
 CHUNK_ROWS = "shopfloor.chunkRows"
+SALTS = "shopfloor.salts"
 LONGEST_LEAD_IN = 14
-_DEFAULTS = {SMALL_BYTES: 64 * 1024 * 1024, CHUNK_ROWS: 1_000_000}
+_DEFAULTS = {SMALL_BYTES: 64 * 1024 * 1024, CHUNK_ROWS: 1_000_000, SALTS: 32}
 
 
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(_DEFAULTS[name])))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes; -1 when broadcasting is off."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return int(conf.autoBroadcastJoinThreshold())
+
+
 def is_small(df: DataFrame) -> bool:
     """True when the planner's size estimate for ``df`` fits a single task."""
     limit = setting(df.sparkSession, SMALL_BYTES)
-    if limit <= 0:
-        return False
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) <= limit
+    return limit > 0 and estimated_bytes(df) <= limit
 
 
 def _chunk_rows(spark: SparkSession) -> int:
@@ -98,6 +107,8 @@ def chunked(
         return df.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_own", F.lit(True)), list(keys)
     size = _chunk_rows(df.sparkSession)
     home = F.floor(F.col(seq) / size).cast("long")
+    if lead_in == 0:
+        return df.withColumn("_chunk", home).withColumn("_own", F.lit(True)), [*keys, "_chunk"]
     near_end = F.col(seq) - home * size >= size - lead_in
     spread = df.withColumn("_chunk", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
     return spread.withColumn("_own", F.col("_chunk") == home), [*keys, "_chunk"]
@@ -118,6 +129,31 @@ def attach_group(rows: DataFrame, partition: Sequence[str], groups: DataFrame, k
     return rows.join(per_chunk, list(partition))
 
 
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join one-row-per-key ``groups`` onto rows whose keys may be badly skewed.
+
+    Small inputs are left to the planner. Otherwise the groups are staged, which
+    tells their real size: below the broadcast threshold the planner broadcasts
+    them. Beyond it each group is copied once per salt and every row picks its
+    salt from ``spread_by`` (columns that differ inside a group), so the rows of a
+    hot key meet their group in many tasks.
+    """
+    keys = list(keys)
+    if how not in ("inner", "left"):
+        raise ValueError("join_groups keeps the rows' side: inner or left")
+    if is_small(rows):
+        return rows.join(groups, keys, how)
+    groups = stage(groups, "groups")
+    if estimated_bytes(groups) <= _broadcast_limit(rows.sparkSession):
+        return rows.join(groups, keys, how)
+    salts = setting(rows.sparkSession, SALTS)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums along ``seq`` inside each group."""
     keys = list(keys)
