@@ -19,9 +19,9 @@ def rpn(severity: Column, occurrence: Column, detection: Column) -> Column:
 
 
 def action_priority_table(spark: SparkSession) -> DataFrame:
-    """All 1000 (S, O, D) combinations with their priority, for equi-joins.
+    """All 1000 (S, O, D) combinations with their priority, for equi-joins and lookups.
 
-    Joining on equality keeps the plan a hash join; a join on the published
+    Joining on equality keeps such a plan a hash join; a join on the published
     bands would be a nested loop over three range conditions.
     """
     bands = fixed.lookup_table(
@@ -40,16 +40,31 @@ def action_priority_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def _band(rating: Column, bands: list[tuple[int, int]]) -> Column:
+    """Index of the inclusive band that holds the rating, null when none does."""
+    place = None
+    for i, (low, high) in enumerate(bands):
+        inside = rating.between(low, high)
+        place = F.when(inside, i) if place is None else place.when(inside, i)
+    return place
+
+
+def action_priority(severity: Column, occurrence: Column, detection: Column) -> Column:
+    """Action Priority from the published table; null when a rating is off the scale.
+
+    The 100 cells are one constant array indexed by the three bands, so scoring
+    stays a projection without any join.
+    """
+    s_bands = list(dict.fromkeys(row[0:2] for row in fixed.ACTION_PRIORITY))
+    o_bands = list(dict.fromkeys(row[2:4] for row in fixed.ACTION_PRIORITY))
+    d_bands = fixed.DETECTION_BANDS
+    cells = F.array(*[F.lit(cell) for row in fixed.ACTION_PRIORITY for cell in row[4:]])
+    line = _band(severity, s_bands) * len(o_bands) + _band(occurrence, o_bands)
+    return F.element_at(cells, line * len(d_bands) + _band(detection, d_bands) + 1)
+
+
 def with_action_priority(df: DataFrame, severity: str, occurrence: str, detection: str, out: str = "AP") -> DataFrame:
-    """Left join of the priority table (1000 rows by construction, so broadcast)."""
-    table = action_priority_table(df.sparkSession)
-    on = (
-        (df[severity] == table["ap_s"])
-        & (df[occurrence] == table["ap_o"])
-        & (df[detection] == table["ap_d"])
-    )
-    joined = df.join(F.broadcast(table), on, "left")
-    return joined.select(*[df[c] for c in df.columns if c != out], table["ap"].alias(out))
+    return df.withColumn(out, action_priority(F.col(severity), F.col(occurrence), F.col(detection)))
 
 
 def ap_rank(ap: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.operators.sequence import dense_sequence, join_groups
+from shopfloor.sources.staging import stage
 
 FLAT_COLUMNS = [
     "ID",
@@ -59,23 +60,30 @@ def _numbered(df: DataFrame, keys: Sequence[str], prefix: Column, out: str) -> D
     return placed.withColumn(out, F.concat(prefix, (F.col("_n") + 1).cast("string"))).drop("_n")
 
 
-def to_relational(flat: DataFrame, order: str = "ID") -> RiskModel:
-    """Normalise validated flat rows; ``order`` gives the row order."""
+def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = False) -> RiskModel:
+    """Normalise validated flat rows; ``order`` gives the row order.
+
+    The model's tables build on each other, so flows that read several of them
+    should ``materialize``: each table is then written once and read from there.
+    """
+    keep = stage if materialize else lambda frame, label: frame
     function_key = ["Process_Step", "Component", "Function"]
     mode_key = [*function_key, "Failure_Mode"]
     functions = flat.groupBy(*function_key).agg(F.min(order).alias("_first"))
-    functions = _numbered(functions, [], F.lit("F"), "function_id")
+    functions = keep(_numbered(functions, [], F.lit("F"), "function_id"), "functions")
     modes = flat.groupBy(*mode_key).agg(F.min(order).alias("_first"))
     modes = join_groups(modes, functions.drop("_first"), function_key, ["Failure_Mode"])
-    modes = _numbered(modes, ["function_id"], F.concat(F.col("function_id"), F.lit("-M")), "failure_mode_id")
+    modes = keep(_numbered(modes, ["function_id"], F.concat(F.col("function_id"), F.lit("-M")), "failure_mode_id"), "modes")
 
     rows = join_groups(flat, modes.drop("_first"), mode_key, ["ID"])
     tables = {}
     for name, (text, rating, letter, rating_name, link) in ENTITIES.items():
         found = rows.groupBy(*MODE, text, rating).agg(F.min(order).alias("_first"))
-        tables[name] = _numbered(found, MODE, F.concat(F.col("failure_mode_id"), F.lit(f"-{letter}")), link)
+        found = _numbered(found, MODE, F.concat(F.col("failure_mode_id"), F.lit(f"-{letter}")), link)
+        tables[name] = keep(found.drop("_first"), name)
     for name, (text, rating, _, _, link) in ENTITIES.items():
-        rows = join_groups(rows, tables[name].drop("_first"), [*MODE, text, rating], ["ID"])
+        rows = join_groups(rows, tables[name], [*MODE, text, rating], ["ID"])
+    links = rows.select(*MODE, F.col("ID").alias("row_id"), *[e[4] for e in ENTITIES.values()])
 
     entity_tables = {
         name: tables[name].select(
@@ -92,7 +100,7 @@ def to_relational(flat: DataFrame, order: str = "ID") -> RiskModel:
             F.col("Function").alias("description"),
         ),
         failure_modes=modes.select(*MODE, F.col("_first").alias("ord"), F.col("Failure_Mode").alias("description")),
-        links=rows.select(*MODE, F.col("ID").alias("row_id"), *[e[4] for e in ENTITIES.values()]),
+        links=keep(links, "links"),
         **entity_tables,
     )
 
@@ -137,66 +145,90 @@ def nested(model: RiskModel) -> DataFrame:
     return out
 
 
-def model_errors(model: RiskModel) -> DataFrame:
-    """Every broken rule of the model as (scope, item, message) rows; empty when sound."""
+def _exploded(counted: DataFrame, scope: Column, item: Column, rules: Sequence[tuple[Column, Column | str]]) -> DataFrame:
+    """Rows (scope, item, message) for every rule a counted row breaks."""
+    hits = [F.when(broken, F.lit(m) if isinstance(m, str) else m) for broken, m in rules]
+    return counted.select(
+        scope.alias("scope"), item.cast("string").alias("item"), F.explode(F.array_compact(F.array(*hits))).alias("message")
+    )
 
-    def problem(df: DataFrame, scope: Column, item: Column, message: Column) -> DataFrame:
-        return df.select(scope.alias("scope"), item.cast("string").alias("item"), message.alias("message"))
 
-    def repeated(df: DataFrame, columns: Sequence[str], scope: Column, item: Column, what: str) -> DataFrame:
-        seen = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-        return problem(seen, scope, item, F.lit(f"duplicate {what}"))
+def model_errors(model: RiskModel) -> DataFrame:
+    """Every broken rule of the model as (scope, item, message) rows; empty when sound.
 
-    root, mode = F.lit("model"), F.concat_ws("::", *MODE)
-    # Reduced to one row per key before each anti join, so a hot failure mode or entity is not.
-    functions_used = model.failure_modes.select("function_id").distinct()
-    modes_used = model.links.select(*MODE).distinct()
+    Definitions and uses of an id are counted together in one aggregation, which
+    finds repeated, unknown and unreferenced ids without joins; the map-side
+    combine absorbs hot failure modes.
+    """
+    one = F.lit(1)
+    root, mode_scope = F.lit("model"), F.concat_ws("::", *MODE)
+
+    functions = model.functions.select("function_id", one.alias("f"), F.lit(0).alias("m")).unionByName(
+        model.failure_modes.select("function_id", F.lit(0).alias("f"), one.alias("m"))
+    )
+    functions = functions.groupBy("function_id").agg(F.sum("f").alias("f"), F.sum("m").alias("m"))
     found = [
-        repeated(model.functions, ["function_id"], root, F.col("function_id"), "function ID"),
-        repeated(model.links, ["row_id"], root, F.col("row_id"), "row ID"),
-        repeated(model.failure_modes, MODE, F.col("function_id"), F.col("failure_mode_id"), "failure-mode ID"),
-        problem(
-            model.functions.join(functions_used, ["function_id"], "left_anti"),
+        _exploded(
+            functions,
             root,
             F.col("function_id"),
-            F.lit("function without failure modes"),
+            [
+                (F.col("f") > 1, "duplicate function ID"),
+                (F.col("f") == 0, "unknown function ID"),
+                (F.col("m") == 0, "function without failure modes"),
+            ],
         ),
-        problem(
-            model.failure_modes.join(modes_used, MODE, "left_anti"),
-            F.col("function_id"),
-            F.col("failure_mode_id"),
-            F.lit("failure mode without links"),
+        _exploded(
+            model.links.groupBy("row_id").agg(F.count(one).alias("c")),
+            root,
+            F.col("row_id"),
+            [(F.col("c") > 1, "duplicate row ID")],
         ),
     ]
-    for name, table in model.entities().items():
-        _, _, _, rating_name, link = ENTITIES[name]
-        label = name[:-1]
-        used = model.links.groupBy(*MODE, F.col(link).alias("id")).agg(F.min("row_id").alias("row_id"))
-        found += [
-            repeated(table, [*MODE, "id"], mode, F.col("id"), f"{label} ID"),
-            repeated(
-                table,
-                [*MODE, "description", rating_name],
-                mode,
-                F.concat_ws(" / ", F.col("description"), F.col(rating_name).cast("string")),
-                f"{label} (description, rating)",
-            ),
-            problem(
-                used.join(table.select(*MODE, "id").distinct(), [*MODE, "id"], "left_anti"),
-                mode,
-                F.col("id"),
-                F.concat(F.lit("link row "), F.col("row_id").cast("string"), F.lit(f": unknown {label} ID")),
-            ),
-            problem(
-                table.join(used, [*MODE, "id"], "left_anti"), mode, F.col("id"), F.lit(f"unreferenced {label} ID")
-            ),
-            problem(
-                model.failure_modes.join(table.select(*MODE).distinct(), MODE, "left_anti"),
-                F.col("function_id"),
-                F.col("failure_mode_id"),
-                F.lit(f"failure mode without {name}"),
-            ),
-        ]
+
+    parts = {"failure_mode": model.failure_modes, **model.entities(), "links": model.links}
+    children = reduce(DataFrame.unionByName, [t.select(*MODE, F.lit(k).alias("part")) for k, t in parts.items()])
+    children = children.groupBy(*MODE).agg(*[F.count_if(F.col("part") == k).alias(k) for k in parts])
+    rules: list[tuple[Column, Column | str]] = [
+        (F.col("failure_mode") > 1, "duplicate failure-mode ID"),
+        (F.col("failure_mode") == 0, "unknown failure-mode ID"),
+    ]
+    rules += [(F.col(k) == 0, f"failure mode without {k}") for k in parts if k != "failure_mode"]
+    found.append(_exploded(children, F.col("function_id"), F.col("failure_mode_id"), rules))
+
+    defined = reduce(
+        DataFrame.unionByName,
+        [
+            t.select(*MODE, F.lit(k[:-1]).alias("kind"), "id", "description", F.col(ENTITIES[k][3]).alias("rating"))
+            for k, t in model.entities().items()
+        ],
+    )
+    pairs = defined.groupBy(*MODE, "kind", "description", "rating").agg(F.count(one).alias("c"))
+    pair = F.concat_ws(" / ", F.col("description"), F.col("rating").cast("string"))
+    twice = F.concat(F.lit("duplicate "), F.col("kind"), F.lit(" (description, rating)"))
+    found.append(_exploded(pairs, mode_scope, pair, [(F.col("c") > 1, twice)]))
+
+    references = F.array(*[F.struct(F.lit(k[:-1]).alias("kind"), F.col(e[4]).alias("id")) for k, e in ENTITIES.items()])
+    used = model.links.select(*MODE, "row_id", F.explode(references).alias("r")).select(*MODE, "r.kind", "r.id", "row_id")
+    ids = defined.select(*MODE, "kind", "id", one.alias("d"), F.lit(None).cast("long").alias("row_id")).unionByName(
+        used.select(*MODE, "kind", "id", F.lit(0).alias("d"), "row_id")
+    )
+    ids = ids.groupBy(*MODE, "kind", "id").agg(F.sum("d").alias("d"), F.min("row_id").alias("row_id"))
+    found.append(
+        _exploded(
+            ids,
+            mode_scope,
+            F.col("id"),
+            [
+                (F.col("d") > 1, F.concat(F.lit("duplicate "), F.col("kind"), F.lit(" ID"))),
+                (
+                    F.col("d") == 0,
+                    F.concat(F.lit("link row "), F.col("row_id").cast("string"), F.lit(": unknown "), F.col("kind"), F.lit(" ID")),
+                ),
+                (F.col("row_id").isNull(), F.concat(F.lit("unreferenced "), F.col("kind"), F.lit(" ID"))),
+            ],
+        )
+    )
     return reduce(DataFrame.unionByName, found)
 
 

@@ -30,7 +30,7 @@ PARETO_TOP = 30
 def score(df: DataFrame, *, priority: bool = True) -> DataFrame:
     """RPN, the three flags, the risk tier and (optionally) the Action Priority.
 
-    A projection plus one fixed-size broadcast: no shuffle. Rows rated off the
+    A projection: no join and no shuffle. Rows rated off the
     scale get null scores and ``score_status = 'off_scale'``.
     """
     s, o, d = (F.col(c) for c in ("Severity", "Occurrence", "Detection"))

@@ -11,8 +11,8 @@ large inputs:
 * ``running_sum`` adds per-piece totals to per-piece running sums;
 * ``join_groups`` salts a lookup whose row side may have hot keys.
 
-An input whose size estimate fits one task comfortably skips all of this and
-uses an ordinary window. The estimate is the planner's own, as for broadcasts.
+An input small enough for one task skips all of this and uses an ordinary
+window; the sizes compared are the planner's own, as for broadcasts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SMALL_BYTES = "shopfloor.smallBytes"
 CHUNK_ROWS = "shopfloor.chunkRows"
 SALTS = "shopfloor.salts"
 LONGEST_LEAD_IN = 14
-_DEFAULTS = {SMALL_BYTES: 64 * 1024 * 1024, CHUNK_ROWS: 1_000_000, SALTS: 32}
+_DEFAULTS = {SMALL_BYTES: 32 * 1024 * 1024, CHUNK_ROWS: 1_000_000, SALTS: 32}
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -36,9 +36,21 @@ def setting(spark: SparkSession, name: str) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of the frame itself."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the tables the frame reads.
+
+    Used instead of the frame's own estimate because the planner multiplies the
+    sizes of joined sides, while the joins here look up one row per key and so
+    never yield more rows than they read.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _broadcast_limit(spark: SparkSession) -> int:
     """The session's broadcast threshold in bytes; -1 when broadcasting is off."""
     conf = spark._jsparkSession.sessionState().conf()
@@ -46,9 +58,9 @@ def _broadcast_limit(spark: SparkSession) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when the planner's size estimate for ``df`` fits a single task."""
+    """True when all that ``df`` reads fits a single task."""
     limit = setting(df.sparkSession, SMALL_BYTES)
-    return limit > 0 and estimated_bytes(df) <= limit
+    return limit > 0 and input_bytes(df) <= limit
 
 
 def _chunk_rows(spark: SparkSession) -> int:

@@ -21,6 +21,7 @@ ROW_NO = "_row_no"
 ECHO_LENGTH = 50
 ERROR_COLUMNS = ["row_no", "ord", "column", "value", "msg", "message"]
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
+NUMBER_TEXT = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
 
 
 class IngestError(ValueError):
@@ -56,7 +57,8 @@ class Field:
         return F.when(~missing, text)
 
     def number(self, df: DataFrame) -> Column:
-        return F.trim(self.raw(df)).try_cast("double")
+        text = F.trim(self.raw(df))
+        return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
     def problems(self, df: DataFrame) -> list[tuple[Column, str]]:
         """(broken, message) pairs in the order they are looked at."""

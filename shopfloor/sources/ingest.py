@@ -60,7 +60,7 @@ def read_table(spark: SparkSession, path: str, *, multiline: bool = False) -> Da
     """
     lowered = path.lower().rstrip("/")
     if not lowered.endswith((".csv", ".parquet")):
-        raise IngestError(f"Unsupported file type: '{path}'. Please upload a .csv or .xlsx file.")
+        raise IngestError(f"Unsupported file type: '{path}'. Please provide a .csv or .parquet file.")
     try:
         if lowered.endswith(".csv"):
             reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
