@@ -56,7 +56,7 @@ class RiskModel:
 
 def _numbered(df: DataFrame, keys: Sequence[str], prefix: Column, out: str) -> DataFrame:
     """Id from the order of first appearance inside ``keys``."""
-    placed = dense_sequence(df, keys, ["_first"], out="_n")
+    placed = dense_sequence(df, keys, ["_ord"], out="_n")
     return placed.withColumn(out, F.concat(prefix, (F.col("_n") + 1).cast("string"))).drop("_n")
 
 
@@ -69,18 +69,18 @@ def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = Fal
     keep = stage if materialize else lambda frame, label: frame
     function_key = ["Process_Step", "Component", "Function"]
     mode_key = [*function_key, "Failure_Mode"]
-    functions = flat.groupBy(*function_key).agg(F.min(order).alias("_first"))
+    functions = flat.groupBy(*function_key).agg(F.min(order).alias("_ord"))
     functions = keep(_numbered(functions, [], F.lit("F"), "function_id"), "functions")
-    modes = flat.groupBy(*mode_key).agg(F.min(order).alias("_first"))
-    modes = join_groups(modes, functions.drop("_first"), function_key, ["Failure_Mode"])
+    modes = flat.groupBy(*mode_key).agg(F.min(order).alias("_ord"))
+    modes = join_groups(modes, functions.drop("_ord"), function_key, ["Failure_Mode"])
     modes = keep(_numbered(modes, ["function_id"], F.concat(F.col("function_id"), F.lit("-M")), "failure_mode_id"), "modes")
 
-    rows = join_groups(flat, modes.drop("_first"), mode_key, ["ID"])
+    rows = join_groups(flat, modes.drop("_ord"), mode_key, ["ID"])
     tables = {}
     for name, (text, rating, letter, rating_name, link) in ENTITIES.items():
-        found = rows.groupBy(*MODE, text, rating).agg(F.min(order).alias("_first"))
+        found = rows.groupBy(*MODE, text, rating).agg(F.min(order).alias("_ord"))
         found = _numbered(found, MODE, F.concat(F.col("failure_mode_id"), F.lit(f"-{letter}")), link)
-        tables[name] = keep(found.drop("_first"), name)
+        tables[name] = keep(found.drop("_ord"), name)
     for name, (text, rating, _, _, link) in ENTITIES.items():
         rows = join_groups(rows, tables[name], [*MODE, text, rating], ["ID"])
     links = rows.select(*MODE, F.col("ID").alias("row_id"), *[e[4] for e in ENTITIES.values()])
@@ -94,12 +94,12 @@ def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = Fal
     return RiskModel(
         functions=functions.select(
             "function_id",
-            F.col("_first").alias("ord"),
+            F.col("_ord").alias("ord"),
             F.col("Process_Step").alias("process_step"),
             F.col("Component").alias("component"),
             F.col("Function").alias("description"),
         ),
-        failure_modes=modes.select(*MODE, F.col("_first").alias("ord"), F.col("Failure_Mode").alias("description")),
+        failure_modes=modes.select(*MODE, F.col("_ord").alias("ord"), F.col("Failure_Mode").alias("description")),
         links=keep(links, "links"),
         **entity_tables,
     )

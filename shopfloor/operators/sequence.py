@@ -86,23 +86,28 @@ def dense_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
     sort = [F.col(k) for k in keys] + _columns(order)
     placed = stage(
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()),
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_seq_place", F.monotonically_increasing_id()),
         "sequence",
     )
     # One row per (group, range partition) pair: at most groups + partitions rows.
-    part = F.shiftright("_place", 33)
-    spans = placed.groupBy(*keys, part.alias("_part")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
+    part = F.shiftright("_seq_place", 33)
+    spans = placed.groupBy(*keys, part.alias("_seq_part")).agg(
+        F.count(F.lit(1)).alias("_seq_rows"), F.min("_seq_place").alias("_seq_head")
     )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_seq_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = stage(
-        spans.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")),
+        spans.select(*keys, "_seq_part", "_seq_head", F.coalesce(F.sum("_seq_rows").over(before), F.lit(0)).alias("_seq_start")),
         "spans",
     )
+    # Null keys form a group like any other, so the keys are matched null-safely.
+    spans = spans.withColumnsRenamed({c: f"_seq_of_{c}" for c in [*keys, "_seq_part"]})
+    same = F.col("_seq_part") == F.col("_seq_of__seq_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_seq_of_{k}"))
     return (
-        placed.withColumn("_part", part)
-        .join(spans, [*keys, "_part"])
-        .select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_start")).alias(out))
+        placed.withColumn("_seq_part", part)
+        .join(spans, same)
+        .select(*df.columns, (F.col("_seq_place") - F.col("_seq_head") + F.col("_seq_start")).alias(out))
     )
 
 

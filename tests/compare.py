@@ -21,20 +21,32 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v: object) -> object:
+    """Comparable form of a cell: numbers as floats, missing as None, the rest as text."""
     if v is None or v is pd.NaT or v is pd.NA:
-        return ""
-    if isinstance(v, float):
-        if math.isnan(v):
-            return ""
-        return f"{v:.6f}" if not v.is_integer() else str(int(v)) if abs(v) < 1e15 else repr(v)
+        return None
+    if isinstance(v, (bool, str)):
+        return str(v)
     if hasattr(v, "item"):
         return _cell(v.item())
+    if isinstance(v, (int, float)):
+        return None if math.isnan(v) else float(v)
     return str(v)
 
 
+def _sort_key(row: tuple) -> tuple:
+    return tuple("" if v is None else f"{v:025.4f}" if isinstance(v, float) else v for v in row)
+
+
+def _same(a: object, b: object) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        # one unit of the sixth decimal: both engines round sums taken in different order
+        return a == b or abs(a - b) <= 1.5e-6 * max(1.0, abs(a) * 1e-3)
+    return a == b
+
+
 def normal_form(df: pd.DataFrame) -> list[tuple]:
     columns = sorted(df.columns)
-    return sorted(tuple(_cell(v) for v in row) for row in df[columns].itertuples(index=False, name=None))
+    return sorted((tuple(_cell(v) for v in row) for row in df[columns].itertuples(index=False, name=None)), key=_sort_key)
 
 
 def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
@@ -43,6 +55,6 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_df.columns)} != {sorted(sql_df.columns)}"
     a, b = normal_form(spark_df), normal_form(sql_df)
     if len(a) != len(b):
-        return f"{len(a)} rows != {len(b)} rows; only spark {sorted(set(a) - set(b))[:2]}; only sql {sorted(set(b) - set(a))[:2]}"
-    wrong = [(x, y) for x, y in zip(a, b) if x != y]
+        return f"{len(a)} rows != {len(b)} rows; only spark {[r for r in a if r not in b][:2]}; only sql {[r for r in b if r not in a][:2]}"
+    wrong = [(x, y) for x, y in zip(a, b) if not all(map(_same, x, y))]
     return f"{len(wrong)} rows differ, first {wrong[0]}" if wrong else None
