@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions import fixed, scoring
-from shopfloor.operators.sequence import dense_sequence, running_sum
+from shopfloor.operators.sequence import dense_sequence, join_groups, running_sum
 
 CRITICAL_COLUMNS = [
     "Failure_Mode",
@@ -163,7 +163,10 @@ def insight(df: DataFrame, keys: Sequence[str] = (), k: int = 3) -> DataFrame:
         F.min_by("Process_Step", "_nth").alias("top_process_step"),
         F.max("RPN").alias("highest_rpn"),
     )
-    joined = totals.join(top, keys).where("total >= 2")
+    # Two one-row-per-group frames are put side by side by an aggregation over their union.
+    both = totals.unionByName(top, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in keys]
+    joined = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values]).where("total >= 2")
     share = F.when(F.col("total_rpn") > 0, 100.0 * F.col("top_rpn") / F.nullif(F.col("total_rpn"), F.lit(0))).otherwise(0.0)
     return joined.select(
         *[c for c in keys if c != "_all"],
@@ -234,10 +237,9 @@ def pareto(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     summed = running_sum(ranked, keys, "rank", {"_running": F.col("RPN")})
     if keys:
         totals = df.groupBy(*keys).agg(F.sum("RPN").alias("_total"))
-        summed = summed.join(totals, keys)
+        summed = join_groups(summed, totals, keys, ["ID"])
     else:
-        totals = df.agg(F.sum("RPN").alias("_total")).withColumn("_all", F.lit(0))
-        summed = summed.withColumn("_all", F.lit(0)).join(F.broadcast(totals), "_all")
+        summed = summed.withColumn("_total", df.agg(F.sum("RPN")).scalar())
     share = F.when(F.col("_total") > 0, 100.0 * F.col("_running") / F.nullif(F.col("_total"), F.lit(0))).otherwise(0.0)
     return summed.select(*keys, "rank", "ID", "label", "RPN", "Risk_Tier", share.alias("cumulative_pct"))
 
@@ -247,17 +249,19 @@ def top_with_others(df: DataFrame, keys: Sequence[str] = (), k: int = PARETO_TOP
     keys = list(keys) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
     top = _first_rows(rows, keys, rank_order(df.columns, "rpn"), k, "rank")
-    taken = top.groupBy(*keys).agg(F.sum("RPN").alias("_top_rpn"), F.count(F.lit(1)).alias("_top_n"))
-    totals = rows.groupBy(*keys).agg(F.sum("RPN").alias("_rpn"), F.count(F.lit(1)).alias("_n"))
-    rest = F.col("_n") - F.col("_top_n")
+    # What is left is the group's total less its top rows: one more small aggregation, no join.
+    amounts = [F.sum("RPN").alias("_rpn"), F.count(F.lit(1)).alias("_n")]
+    shown_part = top.groupBy(*keys).agg(*amounts).select(*keys, (-F.col("_rpn")).alias("_rpn"), (-F.col("_n")).alias("_n"))
+    rest = rows.groupBy(*keys).agg(*amounts).unionByName(shown_part)
     others = (
-        totals.join(taken, keys)
-        .where(rest > 0)
+        rest.groupBy(*keys)
+        .agg(F.sum("_rpn").alias("RPN"), F.sum("_n").alias("_n"))
+        .where("_n > 0")
         .select(
             *keys,
             F.lit(k + 1).alias("rank"),
-            F.concat(F.lit("Others (N="), rest.cast("string"), F.lit(")")).alias("Failure_Mode"),
-            (F.col("_rpn") - F.col("_top_rpn")).alias("RPN"),
+            F.concat(F.lit("Others (N="), F.col("_n").cast("string"), F.lit(")")).alias("Failure_Mode"),
+            "RPN",
             F.lit("Green").alias("Risk_Tier"),
         )
     )

@@ -17,7 +17,8 @@ from shopfloor.functions.maths import ratio
 from shopfloor.operators import rules as run_rules
 from shopfloor.operators.capability import gated_capability
 from shopfloor.operators.charts import ControlChart, imr_limits, moving_range
-from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, join_groups, running_sum
+from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, is_small, join_groups, running_sum
+from shopfloor.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,9 @@ def signal_charts(
     cut, partition = chunked(counted, keys, "_pos", lead_in=1)
     cut = cut.withColumn("mr", moving_range("point", partition, "_pos")).where(F.col("_own") & F.col("point").isNotNull())
     present = cut.select(*keys, (F.col("_seen") - 1).alias("idx"), *carry, "point", "mr")
+    if not is_small(present):
+        # Limits and rules both start here; without this the gap handling would run twice.
+        present = stage(present, "present")
 
     limits = imr_limits(present, keys)
     cut, partition = chunked(present, keys, "idx")
@@ -177,11 +181,12 @@ def failing_signal_pareto(chart: ControlChart, labels: DataFrame, label: str = "
     """Rule violations on failed units per sensor, with running share."""
     failed = labels.where(F.col(label) == fixed.UNIT_FAIL).select("row_id")
     hits = chart.violations.select(*chart.keys, "row_id").join(failed, "row_id", "left_semi")
-    counts = hits.groupBy(*chart.keys).agg(F.count(F.lit(1)).alias("n_fail_violations"))
+    # One row per sensor after all the charting work: staged so that work runs once.
+    counts = stage(hits.groupBy(*chart.keys).agg(F.count(F.lit(1)).alias("n_fail_violations")), "pareto")
     ranked = dense_sequence(counts, [], [F.col("n_fail_violations").desc(), *chart.keys], out="_nth")
-    ranked = running_sum(ranked, [], "_nth", {"_running": F.col("n_fail_violations")}).withColumn("_all", F.lit(0))
-    total = counts.groupBy(F.lit(0).alias("_all")).agg(F.sum("n_fail_violations").alias("_total"))
-    return ranked.join(F.broadcast(total), "_all").select(
+    ranked = running_sum(ranked, [], "_nth", {"_running": F.col("n_fail_violations")})
+    ranked = ranked.withColumn("_total", counts.agg(F.sum("n_fail_violations")).scalar())
+    return ranked.select(
         *chart.keys,
         "n_fail_violations",
         (F.col("n_fail_violations") / F.col("_total") * 100.0).alias("pct"),
