@@ -60,7 +60,8 @@ def action_priority(severity: Column, occurrence: Column, detection: Column) ->
     d_bands = fixed.DETECTION_BANDS
     cells = F.array(*[F.lit(cell) for row in fixed.ACTION_PRIORITY for cell in row[4:]])
     line = _band(severity, s_bands) * len(o_bands) + _band(occurrence, o_bands)
-    return F.element_at(cells, line * len(d_bands) + _band(detection, d_bands) + 1)
+    # try_element_at: under ANSI mode element_at ignores a null index on an array without nulls.
+    return F.try_element_at(cells, line * len(d_bands) + _band(detection, d_bands) + 1)
 
 
 def with_action_priority(df: DataFrame, severity: str, occurrence: str, detection: str, out: str = "AP") -> DataFrame:

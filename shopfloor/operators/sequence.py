@@ -47,7 +47,7 @@ def input_bytes(df: DataFrame) -> int:
     sizes of joined sides, while the joins here look up one row per key and so
     never yield more rows than they read.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
