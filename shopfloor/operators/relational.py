@@ -60,11 +60,11 @@ def _numbered(df: DataFrame, keys: Sequence[str], prefix: Column, out: str) -> D
     return placed.withColumn(out, F.concat(prefix, (F.col("_n") + 1).cast("string"))).drop("_n")
 
 
-def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = False) -> RiskModel:
+def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = True) -> RiskModel:
     """Normalise validated flat rows; ``order`` gives the row order.
 
-    The model's tables build on each other, so flows that read several of them
-    should ``materialize``: each table is then written once and read from there.
+    The model's tables build on each other and are read several times, so each is
+    written once and read from there; ``materialize=False`` leaves them lazy.
     """
     keep = stage if materialize else lambda frame, label: frame
     function_key = ["Process_Step", "Component", "Function"]

@@ -421,17 +421,17 @@ def export_risk_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model(spark: SparkSession, d: str) -> relational.RiskModel:
-    return relational.to_relational(views.fmea_flat(spark, d), materialize=True)
+    return relational.to_relational(views.fmea_flat(spark, d))
 
 
 @query
 def rel_functions(spark: SparkSession, d: str) -> DataFrame:
-    return relational.to_relational(views.fmea_flat(spark, d)).functions
+    return relational.to_relational(views.fmea_flat(spark, d), materialize=False).functions
 
 
 @query
 def rel_failure_modes(spark: SparkSession, d: str) -> DataFrame:
-    return relational.to_relational(views.fmea_flat(spark, d)).failure_modes
+    return relational.to_relational(views.fmea_flat(spark, d), materialize=False).failure_modes
 
 
 @query

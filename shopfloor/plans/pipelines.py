@@ -56,7 +56,7 @@ def closed_loop(
     Without a ``binding`` (characteristic, stream) the first plan rows are paired
     with the streams in name order.
     """
-    named = planning.named_modes(relational.to_relational(flat, materialize=True))
+    named = planning.named_modes(relational.to_relational(flat))
     plan, index = planning.control_plan(named), planning.source_index(named)
     chart = control_chart(measurements, kind, ["stream"], rule_set=rule_set, **chart_options)
     if binding is None:

@@ -23,17 +23,29 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    one_task(session)
     yield session
     session.stop()
 
 
+def one_task(spark):
+    """Treat every input as small (frames made from Python rows have no known size)."""
+    spark.conf.set("shopfloor.smallBytes", str(10**30))
+    spark.conf.unset("shopfloor.chunkRows")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def spread(spark, chunk_rows=16):
+    """Treat every input as large, with short chunks and no broadcasts."""
+    spark.conf.set("shopfloor.smallBytes", "0")
+    spark.conf.set("shopfloor.chunkRows", str(chunk_rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 @pytest.fixture(params=["one_task", "spread"])
 def mode(request, spark):
     """Run a test on the small-input path and again on the path for large inputs."""
     if request.param == "spread":
-        spark.conf.set("shopfloor.smallBytes", "0")
-        spark.conf.set("shopfloor.chunkRows", "16")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spread(spark)
     yield request.param
-    for key in ("shopfloor.smallBytes", "shopfloor.chunkRows", "spark.sql.autoBroadcastJoinThreshold"):
-        spark.conf.unset(key)
+    one_task(spark)

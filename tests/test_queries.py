@@ -3,7 +3,7 @@
 import __spark_entry__ as contract
 import compare
 import pytest
-from conftest import SMALL
+from conftest import SMALL, one_task, spread
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 # Forced onto the large-input path too: one per kind of ordering or join.
@@ -43,14 +43,11 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", SPREAD)
 def test_query_matches_sql_on_the_large_input_path(spark, duck, name):
-    spark.conf.set("shopfloor.smallBytes", "0")
-    spark.conf.set("shopfloor.chunkRows", "40")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spread(spark, 40)
     try:
         found = QUERIES[name](spark, SMALL).toPandas()
     finally:
-        for key in ("shopfloor.smallBytes", "shopfloor.chunkRows", "spark.sql.autoBroadcastJoinThreshold"):
-            spark.conf.unset(key)
+        one_task(spark)
     assert compare.difference(found, duck.execute(SQL[name]).df()) is None
 
 

@@ -1,5 +1,6 @@
 import random
 
+from conftest import one_task, spread
 from pyspark.sql import functions as F
 from shopfloor.operators.rules import with_rules
 from shopfloor.operators.sequence import (
@@ -46,8 +47,7 @@ def test_running_sum(spark, mode):
 
 
 def test_chunks_are_bounded_and_led_in(spark):
-    spark.conf.set("shopfloor.smallBytes", "0")
-    spark.conf.set("shopfloor.chunkRows", "20")
+    spread(spark, 20)
     try:
         rows = spark.range(105).select(F.lit("a").alias("k"), F.col("id").alias("seq"))
         cut, partition = chunked(rows, ["k"], "seq", 14)
@@ -57,8 +57,7 @@ def test_chunks_are_bounded_and_led_in(spark):
         for r in joined.collect():
             by_chunk.setdefault(r["_chunk"], []).append((r.seq, r["_own"]))
     finally:
-        spark.conf.unset("shopfloor.smallBytes")
-        spark.conf.unset("shopfloor.chunkRows")
+        one_task(spark)
     assert partition == ["k", "_chunk"] and sorted(by_chunk) == list(range(6))
     for chunk, rows in by_chunk.items():
         own = sorted(s for s, mine in rows if mine)
@@ -76,6 +75,7 @@ def test_join_groups_keeps_hot_rows_whole(spark, mode):
 
 
 def test_size_check_follows_the_inputs(spark, tmp_path):
+    spark.conf.unset("shopfloor.smallBytes")
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
     assert 0 < input_bytes(t) < 100_000 and is_small(t)
@@ -83,7 +83,7 @@ def test_size_check_follows_the_inputs(spark, tmp_path):
     assert input_bytes(t.join(t.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"))) == 2 * input_bytes(t)
     spark.conf.set("shopfloor.smallBytes", "10")
     assert not is_small(t)
-    spark.conf.unset("shopfloor.smallBytes")
+    one_task(spark)
 
 
 def test_rules_cost_one_exchange(spark):
