@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.operators.sequence import dense_sequence, join_groups
-from shopfloor.sources.staging import stage
+from shopfloor.sources.staging import stage, stage_all
 
 FLAT_COLUMNS = [
     "ID",
@@ -80,7 +80,9 @@ def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = Tru
     for name, (text, rating, letter, rating_name, link) in ENTITIES.items():
         found = rows.groupBy(*MODE, text, rating).agg(F.min(order).alias("_ord"))
         found = _numbered(found, MODE, F.concat(F.col("failure_mode_id"), F.lit(f"-{letter}")), link)
-        tables[name] = keep(found.drop("_ord"), name)
+        tables[name] = found.drop("_ord")
+    if materialize:
+        tables = stage_all(tables)
     for name, (text, rating, _, _, link) in ENTITIES.items():
         rows = join_groups(rows, tables[name], [*MODE, text, rating], ["ID"])
     links = rows.select(*MODE, F.col("ID").alias("row_id"), *[e[4] for e in ENTITIES.values()])

@@ -1,7 +1,7 @@
 """Run rules on control charts: the four Western Electric and four Nelson rules.
 
-All eight rules are bounded ROWS frames over one partitioning and one order, so
-a chart's rules cost a single shuffle whatever the rule set.
+All eight rules are window functions over one partitioning and one order, so a
+chart's rules cost a single shuffle whatever the rule set.
 """
 
 from __future__ import annotations
@@ -41,38 +41,51 @@ def with_rules(
     """
     wanted = rule_count(rule_set)
     ordered = Window.partitionBy(*partition).orderBy(seq)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     c, s, i = F.col("_c"), F.col(sigma), F.col(seq)
 
-    def hits(condition: Column, points: int) -> Column:
-        frame = ordered.rowsBetween(-(points - 1), 0)
-        return F.sum(F.when(condition, 1).otherwise(0)).over(frame)
+    # Looking back over a few points is a lag each, and "k in a row" is the distance
+    # to the last point that broke the row: both cost the same whatever the window
+    # length, where a sliding ROWS sum is recomputed over its frame at every point.
+    start = F.col("_start")
+
+    def latest(condition: Column) -> Column:
+        """Position of the last point meeting the condition, before the first point if none."""
+        return F.coalesce(F.max(F.when(condition, i)).over(so_far), start - 1)
+
+    def in_a_row(condition: Column, points: int) -> Column:
+        return i - latest(~F.coalesce(condition, F.lit(False))) >= points
 
     def one_sided(multiple: float, points: int, needed: int) -> Column:
-        above, below = hits(c > multiple * s, points), hits(c < -(multiple * s), points)
+        window = [c, *[F.col(f"_c{k}") for k in range(1, points)]]
+        above = sum((F.when(x > multiple * s, 1).otherwise(0) for x in window), F.lit(0))
+        below = sum((F.when(x < -(multiple * s), 1).otherwise(0) for x in window), F.lit(0))
         return (i >= points - 1) & (((above >= needed) & (below == 0)) | ((below >= needed) & (above == 0)))
 
-    def every(condition: Column, points: int) -> Column:
-        return hits(condition, points) == points
-
     staged = df.withColumn("_c", F.col(value) - F.col(center))
+    helpers = {f"_c{k}": F.lag("_c", k).over(ordered) for k in range(1, 5)} | {"_start": F.min(seq).over(so_far)}
+    if wanted > 4:
+        helpers["_d"] = F.signum(F.col(value) - F.lag(value).over(ordered))
+    staged = staged.withColumns(helpers)
+    if wanted > 4:
+        staged = staged.withColumn("_turn", F.col("_d") * F.lag("_d").over(ordered))
+
     fired = [
         F.abs(c) > 3.0 * s,
         one_sided(2.0, 3, 2),
         one_sided(1.0, 5, 4),
-        every(c > 0, 8) | every(c < 0, 8),
+        in_a_row(c > 0, 8) | in_a_row(c < 0, 8),
     ]
     if wanted > 4:
-        staged = staged.withColumn("_d", F.signum(F.col(value) - F.lag(value).over(ordered)))
-        staged = staged.withColumn("_turn", F.col("_d") * F.lag("_d").over(ordered))
-        outside = F.abs(c) > s
+        both_sides = (i - latest(c > 0) < 8) & (i - latest(c < 0) < 8)
         fired += [
-            every(F.col("_d") > 0, 5) | every(F.col("_d") < 0, 5),
-            every(F.col("_turn") < 0, 12),
-            every(F.abs(c) < s, 15),
-            every(outside, 8) & (hits(c > 0, 8) > 0) & (hits(c < 0, 8) > 0),
+            in_a_row(F.col("_d") > 0, 5) | in_a_row(F.col("_d") < 0, 5),
+            in_a_row(F.col("_turn") < 0, 12),
+            in_a_row(F.abs(c) < s, 15),
+            in_a_row(F.abs(c) > s, 8) & both_sides,
         ]
     numbers = F.array_compact(F.array(*[F.when((s > 0) & rule, no + 1) for no, rule in enumerate(fired)]))
-    return staged.withColumn(out, numbers).drop("_c", "_d", "_turn")
+    return staged.withColumn(out, numbers).drop("_c", "_turn", *helpers)
 
 
 def rule_name(number: Column) -> Column:

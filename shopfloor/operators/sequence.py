@@ -48,13 +48,17 @@ def input_bytes(df: DataFrame) -> int:
     never yield more rows than they read.
     """
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        # A table read in several branches counts once.
+        sizes[leaf.semanticHash()] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values())
 
 
 def _broadcast_limit(spark: SparkSession) -> int:
     """The session's broadcast threshold in bytes; -1 when broadcasting is off."""
-    conf = spark._jsparkSession.sessionState().conf()
-    return int(conf.autoBroadcastJoinThreshold())
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def is_small(df: DataFrame) -> bool:

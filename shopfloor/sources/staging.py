@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage frames that do not depend on each other, as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return dict(zip(frames, pool.map(stage, frames.values(), frames)))
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete every table this process staged; call when their results are written."""
     jvm = spark.sparkContext._jvm
