@@ -271,7 +271,7 @@ def violation_summary(chart: ControlChart) -> DataFrame:
     fired = chart.points.where(F.size("rules") > 0).groupBy(*chart.keys).agg(
         F.count(F.lit(1)).alias("violating_points"),
         F.sum(F.size("rules")).alias("violation_events"),
-        # at most eight distinct rule numbers survive the partial aggregation
+        # Eight rules make at most 255 distinct arrays, so the set stays small for any group.
         F.array_sort(F.flatten(F.collect_set("rules"))).alias("_numbers"),
     )
     rules_seen = F.array_sort(run_rules.rule_names(F.array_distinct("_numbers")))

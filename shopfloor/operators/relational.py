@@ -134,19 +134,6 @@ def to_flat(model: RiskModel, *, ordered: bool = True) -> DataFrame:
     return flat.orderBy("ID") if ordered else flat
 
 
-def nested(model: RiskModel) -> DataFrame:
-    """One row per failure mode with its entities as arrays of structs.
-
-    Only for display: a failure mode's entities are gathered into one row.
-    """
-    out = model.failure_modes.select(*MODE, "description")
-    for name, table in model.entities().items():
-        fields = [c for c in table.columns if c not in MODE]
-        gathered = table.groupBy(*MODE).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-        out = out.join(gathered, MODE, "left")
-    return out
-
-
 def _exploded(counted: DataFrame, scope: Column, item: Column, rules: Sequence[tuple[Column, Column | str]]) -> DataFrame:
     """Rows (scope, item, message) for every rule a counted row breaks."""
     hits = [F.when(broken, F.lit(m) if isinstance(m, str) else m) for broken, m in rules]

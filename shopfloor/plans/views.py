@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopfloor.operators.sequence import dense_sequence
+from shopfloor.operators.sequence import dense_sequence, join_groups
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def spc_subgroups(spark: SparkSession, folder: str, size: int = 5) -> DataFrame:
     )
     whole = F.col("n") - F.col("n") % size
     return (
-        rows.join(totals, "stream")
+        join_groups(rows, totals, ["stream"], ["row_id"])
         .where(F.col("seq") < whole)
         .select("stream", (F.floor(F.col("seq") / size) + 1).cast("long").alias("subgroup"), "seq", "value")
     )
