@@ -18,35 +18,23 @@ from shopfloor.sources.staging import release_staged
 
 HEADLINE = [
     "spc_imr_limits",
-    "spc_rules_we",
     "spc_rules_nelson",
-    "spc_violation_summary",
     "spc_xbar_r",
-    "spc_xbar_s",
     "spc_p",
     "spc_u",
     "spc_capability_gated",
     "spc_normality",
-    "spc_histogram",
     "risk_score",
     "risk_rank_rpn",
-    "risk_rank_ap",
-    "risk_counters",
     "risk_pareto",
-    "risk_heatmap",
     "ingest_errors_risk",
     "ingest_duplicates",
-    "export_sanitized",
     "rel_links",
-    "action_effectiveness",
     "plan_build",
     "gage_rr",
-    "signals_missingness",
     "signals_audit",
-    "signals_imr",
     "signals_pareto",
     "yield_summary",
-    "feedback",
     "loop_end_to_end",
     "live_snapshot_xbar_r",
 ]
