@@ -24,7 +24,8 @@ def created(directory: str, suffix: str) -> Iterator[tuple[str, BinaryIO]]:
     system, path = fs.FileSystem.from_uri(directory)
     system.create_dir(path, recursive=True)
     name = f"{uuid4().hex}{suffix}"
-    with system.open_output_stream(f"{path}/{name}") as out:
+    # The callers compress; the default would add a second layer for names like .gz.
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
         yield f"{directory}/{name}", out
 
 
