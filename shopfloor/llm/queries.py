@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm import bpe, langid, packing, quality, rules, tokenfile, warc
+from shopfloor.llm import bpe, langid, ngram_join, packing, quality, rules, tokenfile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def bucket(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=5, threshold=(3, 4))
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket("doc_id", 5) == 0
