@@ -175,15 +175,20 @@ def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", per_lan
 
 
 def identify(
-    df: DataFrame, learn: Column | None = None, text: str = "text", lang: str = "lang", per_language: int = TRAIN_ROWS
+    df: DataFrame,
+    learn: Column | None = None,
+    text: str = "text",
+    lang: str = "lang",
+    per_language: int = TRAIN_ROWS,
+    out: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """Add lang_pred and score to every row.
+    """Add the predicted language and its score to every row.
 
     The network learns from rows where ``learn`` holds and ``lang`` is known; no
     other column is an input. A text's probabilities are the mean over windows
     that cover all of it; ``score`` is the largest. Null texts, texts without a
     letter, and all texts when there is nothing to learn from, are ``und`` with
-    score 0. Rows are kept as they are; columns of those names are replaced.
+    score 0. Rows are kept as they are; columns of the names in ``out`` are replaced.
     """
     sample = training_rows(df if learn is None else df.where(learn), text, lang, per_language)
     net = fit([t for t, _ in sample], [l for _, l in sample])
@@ -197,8 +202,8 @@ def identify(
 
     return (
         df.withColumn("_language", predict(F.col(text)))
-        .withColumn("lang_pred", F.col("_language.lang_pred"))
-        .withColumn("score", F.col("_language.score"))
+        .withColumn(out[0], F.col("_language.lang_pred"))
+        .withColumn(out[1], F.col("_language.score"))
         .drop("_language")
     )
 

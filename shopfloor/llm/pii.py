@@ -227,19 +227,20 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Where spans overlap, the first by start (then the longest) is replaced and
     what is left of the others after it too. Null texts stay null.
     """
-    keyed = docs.withColumn("_same", F.xxhash64(text))
-    scans = stage(scanned(keyed.select(F.col(key).alias("doc_id"), F.col("_same").alias("same"), F.col(text).alias("text"))).drop("text"), "pii-scan")
-    scans = scans.where("size(scan.found) > 0").dropDuplicates(["doc_id", "same"]).withColumn("doc", F.struct("doc_id", "same"))
-    extra = stage(extra_spans(scans, ["doc"]), "pii-extra")
+    keyed = docs.withColumn("_pii_same", F.xxhash64(text))
+    scans = scanned(keyed.select(F.col(key).alias("doc_id"), F.col("_pii_same").alias("same"), F.col(text).alias("text"))).drop("text")
+    scans = stage(scans, "pii-scan").where("size(scan.found) > 0").dropDuplicates(["doc_id", "same"])
+    extra = stage(extra_spans(scans.withColumn("doc", F.struct("doc_id", "same")), ["doc"]), "pii-extra")
+    extra = extra.withColumnsRenamed({"doc": "_pii_doc", "extra": "_pii_extra"})
 
     @arrow_udf("string")
     def mask(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, more in parts:
             yield pa.array([_replaced(t.as_py(), m.as_py() or []) for t, m in zip(texts, more)], pa.string())
 
-    struct = F.struct(F.col(key).alias("doc_id"), F.col("_same").alias("same"))
-    found = keyed.join(extra.withColumnRenamed("doc", "_doc"), struct.eqNullSafe(F.col("_doc")), "left")
-    return found.withColumn(text, mask(F.col(text), F.col("extra"))).select(*docs.columns)
+    struct = F.struct(F.col(key).alias("doc_id"), F.col("_pii_same").alias("same"))
+    found = keyed.join(extra, struct.eqNullSafe(F.col("_pii_doc")), "left")
+    return found.withColumn(text, mask(F.col(text), F.col("_pii_extra"))).select(*docs.columns)
 
 
 def _replaced(text: str | None, extra: list[dict]) -> str | None:

@@ -164,6 +164,6 @@ def apply_rules(df: DataFrame, rules: list[Rule] | None = None, text: str = "tex
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add every measure of MEASURES as a column."""
+    """Add every measure of MEASURES as a column; columns of those names are replaced."""
     value = F.coalesce(F.col(text), F.lit(""))
-    return df.select("*", *[make(value).alias(name) for name, make in MEASURES.items()])
+    return df.withColumns({name: make(value) for name, make in MEASURES.items()})
