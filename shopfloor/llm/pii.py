@@ -60,7 +60,8 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _is_ip(found: str) -> bool:
-    return all(len(p) < 4 or len(p.lstrip("0")) < 4 for p in found.split(".")) and all(int(p) <= 255 for p in found.split("."))
+    parts = [p.lstrip("0") or "0" for p in found.split(".")]
+    return all(len(p) < 4 and int(p) <= 255 for p in parts)
 
 
 def _is_card(found: str) -> bool:
