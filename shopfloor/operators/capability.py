@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions import scoring, text
 from shopfloor.functions.maths import ratio
 from shopfloor.operators.charts import ControlChart, violation_summary
-from shopfloor.operators.sequence import join_groups
+from shopfloor.operators.sequence import join_groups, join_on
 
 
 def default_limits(df: DataFrame, keys: Sequence[str], order: Sequence[str], lsl: str = "lsl", usl: str = "usl") -> DataFrame:
@@ -124,13 +124,13 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     # Equal values are counted before the lookup, so neither a hot value nor a hot group lands in one task.
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = join_groups(values, stats, keys, ["_v"])
+    counts = join_groups(values, stats, keys)
     place = F.floor(ratio(F.col("_v") - F.col("lo"), width))
     counts = counts.withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.col("bins") - 1).cast("int"))
     counts = counts.groupBy(*keys, "bin").agg(F.sum("_c").alias("n_values"))
     grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     n_values = F.coalesce(F.col("n_values"), F.lit(0)).cast("long")
-    return grid.join(counts, [*keys, "bin"], "left").select(
+    return join_on(grid, counts, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("bin_from"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions import fixed
 from shopfloor.operators import rules as run_rules
-from shopfloor.operators.sequence import attach_group, chunked, dense_sequence
+from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, join_on
 
 KINDS = tuple(fixed.CHART_KEYS)
 CHART_TITLES = {
@@ -100,6 +100,11 @@ def _subgroup_limits(points: DataFrame, keys: Sequence[str], kind: str) -> DataF
     )
 
 
+def not_finite(name: str) -> Column:
+    """True for NaN and infinities, false for null."""
+    return F.coalesce(F.isnan(name) | (F.abs(name) == float("inf")), F.lit(False))
+
+
 def imr_limits(points: DataFrame, keys: Sequence[str], value: str = "point", moving_range: str = "mr") -> DataFrame:
     """Individuals limits from points that already carry their moving range."""
     stats = points.groupBy(*keys).agg(
@@ -107,6 +112,7 @@ def imr_limits(points: DataFrame, keys: Sequence[str], value: str = "point", mov
     )
     status = (
         F.when(F.col("n_points") < 2, "too_few_points")
+        .when(not_finite("center") | not_finite("mrbar"), "not_finite")
         .when(F.coalesce(F.col("mrbar"), F.lit(0.0)) <= 0, "zero_sigma")
         .otherwise("ok")
     )
@@ -121,7 +127,7 @@ def imr_limits(points: DataFrame, keys: Sequence[str], value: str = "point", mov
         "sigma_hat": mean_range / fixed.IMR_SIGMA,
         "sigma_zone": mean_range / fixed.IMR_SIGMA,
     }
-    enough = status != "too_few_points"
+    enough = ~status.isin("too_few_points", "not_finite")
     return stats.select(
         *keys, "n_points", *[F.when(enough, c).alias(k) for k, c in values.items()], status.alias("status")
     )
@@ -247,9 +253,7 @@ def control_chart(
         limits = _attribute_limits(points, keys, kind)
 
     per_group = ["center", "sigma_zone"] + ([] if kind in ("p", "u") else ["ucl", "lcl"])
-    tested = attach_group(
-        rows, partition, limits.select(*keys, "n_points", *per_group).withColumnRenamed("n_points", "_n"), keys, "_n"
-    )
+    tested = attach_group(rows, limits.select(*keys, *per_group), keys)
     if kind in ("p", "u"):
         tested = _point_limits(tested, kind)
     charted = run_rules.with_rules(tested, partition, "idx", "point", "center", "sigma_zone", rule_set)
@@ -275,7 +279,7 @@ def violation_summary(chart: ControlChart) -> DataFrame:
         F.array_sort(F.flatten(F.collect_set("rules"))).alias("_numbers"),
     )
     rules_seen = F.array_sort(run_rules.rule_names(F.array_distinct("_numbers")))
-    joined = chart.limits.join(fired, chart.keys, "left")
+    joined = join_on(chart.limits, fired, chart.keys, "left")
     return joined.select(
         *chart.keys,
         "n_points",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions import normal
 from shopfloor.functions.maths import ratio
-from shopfloor.operators.sequence import attach_group, chunked, dense_sequence
+from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, join_on
 
 VALIDATED_UP_TO = 5000
 
@@ -35,8 +35,8 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str, row_id: str, al
     stats = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.var_samp("_x") * (F.count(F.lit(1)) - 1)).alias("_ss")
     )
-    rows, partition = chunked(dense_sequence(values, keys, ["_x", "_id"], out="_seq"), keys, "_seq", lead_in=0)
-    ranked = attach_group(rows, partition, stats.select(*keys, "n"), keys, "n")
+    rows, _ = chunked(dense_sequence(values, keys, ["_x", "_id"], out="_seq"), keys, "_seq", lead_in=0)
+    ranked = attach_group(rows, stats.select(*keys, "n"), keys)
     n, rank, x = F.col("n").cast("double"), F.col("_seq") + 1.0, F.col("_x")
 
     def at(position: Column) -> Column:
@@ -51,7 +51,7 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str, row_id: str, al
         at(F.col("n") - 2).alias("_y2"),
         at(F.col("n") - 1).alias("_y1"),
     )
-    t = sums.join(stats, keys, "right").withColumns({"_m1": _score(F.lit(1.0), n), "_m2": _score(F.lit(2.0), n)})
+    t = join_on(stats, sums, keys, "left").withColumns({"_m1": _score(F.lit(1.0), n), "_m2": _score(F.lit(2.0), n)})
     return _significance(_statistic(t), keys, alpha)
 
 

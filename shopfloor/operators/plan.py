@@ -47,7 +47,7 @@ def named_modes(model: RiskModel) -> DataFrame:
     """
     functions = model.functions.select("function_id", F.col("ord").alias("_f"), "component")
     modes = model.failure_modes.select(*MODE, F.col("ord").alias("_m"), "description")
-    modes = join_groups(modes, functions, ["function_id"], ["failure_mode_id"])
+    modes = join_groups(modes, functions, ["function_id"])
     modes = modes.withColumn("_base", F.concat("component", F.lit(" — "), "description"))
     order = ["_f", "_m", "failure_mode_id"]
     modes = dense_sequence(modes, ["_base"], order, out="_use")

@@ -72,10 +72,10 @@ def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = Tru
     functions = flat.groupBy(*function_key).agg(F.min(order).alias("_ord"))
     functions = keep(_numbered(functions, [], F.lit("F"), "function_id"), "functions")
     modes = flat.groupBy(*mode_key).agg(F.min(order).alias("_ord"))
-    modes = join_groups(modes, functions.drop("_ord"), function_key, ["Failure_Mode"])
+    modes = join_groups(modes, functions.drop("_ord"), function_key)
     modes = keep(_numbered(modes, ["function_id"], F.concat(F.col("function_id"), F.lit("-M")), "failure_mode_id"), "modes")
 
-    rows = join_groups(flat, modes.drop("_ord"), mode_key, ["ID"])
+    rows = join_groups(flat, modes.drop("_ord"), mode_key)
     tables = {}
     for name, (text, rating, letter, rating_name, link) in ENTITIES.items():
         found = rows.groupBy(*MODE, text, rating).agg(F.min(order).alias("_ord"))
@@ -84,7 +84,7 @@ def to_relational(flat: DataFrame, order: str = "ID", *, materialize: bool = Tru
     if materialize:
         tables = stage_all(tables)
     for name, (text, rating, _, _, link) in ENTITIES.items():
-        rows = join_groups(rows, tables[name], [*MODE, text, rating], ["ID"])
+        rows = join_groups(rows, tables[name], [*MODE, text, rating])
     links = rows.select(*MODE, F.col("ID").alias("row_id"), *[e[4] for e in ENTITIES.values()])
 
     entity_tables = {
@@ -115,7 +115,7 @@ def resolved_links(model: RiskModel) -> DataFrame:
         named = table.select(
             *MODE, F.col("id").alias(link), F.col("description").alias(text), F.col(rating_name).alias(rating)
         )
-        rows = join_groups(rows, named, [*MODE, link], ["row_id"])
+        rows = join_groups(rows, named, [*MODE, link])
     return rows
 
 
@@ -128,8 +128,8 @@ def to_flat(model: RiskModel, *, ordered: bool = True) -> DataFrame:
         F.col("component").alias("Component"),
         F.col("description").alias("Function"),
     )
-    named_modes = join_groups(modes, functions, ["function_id"], ["failure_mode_id"])
-    rows = join_groups(resolved_links(model), named_modes, MODE, ["row_id"])
+    named_modes = join_groups(modes, functions, ["function_id"])
+    rows = join_groups(resolved_links(model), named_modes, MODE)
     flat = rows.withColumnRenamed("row_id", "ID").select(*FLAT_COLUMNS)
     return flat.orderBy("ID") if ordered else flat
 

@@ -237,7 +237,7 @@ def pareto(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     summed = running_sum(ranked, keys, "rank", {"_running": F.col("RPN")})
     if keys:
         totals = df.groupBy(*keys).agg(F.sum("RPN").alias("_total"))
-        summed = join_groups(summed, totals, keys, ["ID"])
+        summed = join_groups(summed, totals, keys)
     else:
         summed = summed.withColumn("_total", df.agg(F.sum("RPN")).scalar())
     share = F.when(F.col("_total") > 0, 100.0 * F.col("_running") / F.nullif(F.col("_total"), F.lit(0))).otherwise(0.0)

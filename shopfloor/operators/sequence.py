@@ -1,18 +1,16 @@
 """Row positions, halo chunks and running totals that survive hot groups.
 
 A window partitioned by stream puts a whole stream into one task. One stream may
-hold a third of all rows, so the order-dependent operators never do that on
-large inputs:
+hold a third of all rows, so the order-dependent operators never do that:
 
 * ``dense_sequence`` numbers rows per group through a range partitioning on
   (group, order), which splits a hot group over many tasks;
 * ``chunked`` cuts the numbered rows into pieces of bounded length, each with
   copies of the few rows before it, so a bounded ROWS frame can run per piece;
 * ``running_sum`` adds per-piece totals to per-piece running sums;
-* ``join_groups`` salts a lookup whose row side may have hot keys.
+* ``join_on`` and ``join_groups`` match null keys like any other, as grouping does.
 
-An input small enough for one task skips all of this and uses an ordinary
-window; the sizes compared are the planner's own, as for broadcasts.
+Inputs of every size take the same way.
 """
 
 from __future__ import annotations
@@ -24,95 +22,66 @@ from pyspark.sql import functions as F
 
 from shopfloor.sources.staging import stage
 
-SMALL_BYTES = "shopfloor.smallBytes"
 CHUNK_ROWS = "shopfloor.chunkRows"
-SALTS = "shopfloor.salts"
 LONGEST_LEAD_IN = 14
-_DEFAULTS = {SMALL_BYTES: 32 * 1024 * 1024, CHUNK_ROWS: 1_000_000, SALTS: 32}
+_DEFAULTS = {CHUNK_ROWS: 1_000_000}
 
 
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(_DEFAULTS[name])))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of the frame itself."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the tables the frame reads.
-
-    Used instead of the frame's own estimate because the planner multiplies the
-    sizes of joined sides, while the joins here look up one row per key and so
-    never yield more rows than they read.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = {}
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        # A table read in several branches counts once.
-        sizes[leaf.semanticHash()] = int(str(leaf.stats().sizeInBytes()))
-    return sum(sizes.values())
-
+def _chunk_rows(spark: SparkSession) -> int:
+    return max(setting(spark, CHUNK_ROWS), LONGEST_LEAD_IN + 1)
 
-def _broadcast_limit(spark: SparkSession) -> int:
-    """The session's broadcast threshold in bytes; -1 when broadcasting is off."""
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
+def _columns(names: Sequence[str | Column]) -> list[Column]:
+    return [F.col(n) if isinstance(n, str) else n for n in names]
 
-def is_small(df: DataFrame) -> bool:
-    """True when all that ``df`` reads fits a single task."""
-    limit = setting(df.sparkSession, SMALL_BYTES)
-    return limit > 0 and input_bytes(df) <= limit
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null keys too; the columns of ``left``, then the other columns of ``right``."""
+    if how not in ("inner", "left"):
+        raise ValueError("the left side's rows are kept: inner or left")
+    keys = list(keys)
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(renamed, same, how).select(*left.columns, *others)
 
-def _chunk_rows(spark: SparkSession) -> int:
-    return max(setting(spark, CHUNK_ROWS), LONGEST_LEAD_IN + 1)
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one-row-per-key ``groups`` onto rows whose keys may be badly skewed.
 
-def _columns(names: Sequence[str | Column]) -> list[Column]:
-    return [F.col(n) if isinstance(n, str) else n for n in names]
+    The exchange of its own that ``groups`` gets shows its real size, so a small
+    side is broadcast, and leaves the join free to split the partitions of hot keys.
+    """
+    return join_on(rows, groups.hint("rebalance"), keys, how)
 
 
 def dense_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "seq") -> DataFrame:
     """Add the 0-based position of each row inside its group.
 
-    ``order`` must be total inside a group. On large inputs the frame is range
-    partitioned by (keys, order), staged once (range bounds come from sampling,
-    so a second evaluation could cut elsewhere), and the position is the row's
-    place in its partition plus the group's rows in earlier partitions.
+    ``order`` must be total inside a group. The frame is range partitioned by
+    (keys, order), staged once (range bounds come from sampling, so a second
+    evaluation could cut elsewhere), and the position is the row's place in its
+    partition plus the group's rows in earlier partitions.
     """
     keys = list(keys)
-    if is_small(df):
-        window = Window.partitionBy(*keys).orderBy(*_columns(order))
-        return df.withColumn(out, F.row_number().over(window).cast("long") - 1)
-
     sort = [F.col(k) for k in keys] + _columns(order)
     placed = stage(
         df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_seq_place", F.monotonically_increasing_id()),
         "sequence",
-    )
+    ).withColumn("_seq_part", F.shiftright("_seq_place", 33))
     # One row per (group, range partition) pair: at most groups + partitions rows.
-    part = F.shiftright("_seq_place", 33)
-    spans = placed.groupBy(*keys, part.alias("_seq_part")).agg(
-        F.count(F.lit(1)).alias("_seq_rows"), F.min("_seq_place").alias("_seq_head")
-    )
+    spans = placed.groupBy(*keys, "_seq_part").agg(F.count(F.lit(1)).alias("_seq_rows"), F.min("_seq_place").alias("_seq_head"))
     before = Window.partitionBy(*keys).orderBy("_seq_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = stage(
-        spans.select(*keys, "_seq_part", "_seq_head", F.coalesce(F.sum("_seq_rows").over(before), F.lit(0)).alias("_seq_start")),
-        "spans",
-    )
-    # Null keys form a group like any other, so the keys are matched null-safely.
-    spans = spans.withColumnsRenamed({c: f"_seq_of_{c}" for c in [*keys, "_seq_part"]})
-    same = F.col("_seq_part") == F.col("_seq_of__seq_part")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_seq_of_{k}"))
-    return (
-        placed.withColumn("_seq_part", part)
-        .join(spans, same)
-        .select(*df.columns, (F.col("_seq_place") - F.col("_seq_head") + F.col("_seq_start")).alias(out))
-    )
+    start = F.coalesce(F.sum("_seq_rows").over(before), F.lit(0))
+    spans = spans.select(*keys, "_seq_part", (start - F.col("_seq_head")).alias("_seq_shift"))
+    found = join_on(placed, spans, [*keys, "_seq_part"])
+    return found.select(*df.columns, (F.col("_seq_place") + F.col("_seq_shift")).alias(out))
 
 
 def chunked(
@@ -124,8 +93,6 @@ def chunked(
     columns to partition windows by. ``lead_in`` is how many earlier rows the
     longest frame looks back on.
     """
-    if is_small(df):
-        return df.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_own", F.lit(True)), list(keys)
     size = _chunk_rows(df.sparkSession)
     home = F.floor(F.col(seq) / size).cast("long")
     if lead_in == 0:
@@ -135,53 +102,19 @@ def chunked(
     return spread.withColumn("_own", F.col("_chunk") == home), [*keys, "_chunk"]
 
 
-def attach_group(rows: DataFrame, partition: Sequence[str], groups: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+def attach_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-group values onto chunked rows without a hot join key.
 
-    ``groups`` gets one copy per chunk (from its row count), so the join key is
-    (group, chunk): evenly spread, and already the partitioning of the windows
-    that follow.
+    ``groups`` gets one copy per chunk that the rows have, so the join key is
+    (group, chunk): evenly spread, whatever the group's size.
     """
-    if "_chunk" not in partition:
-        return rows.join(groups, list(keys))
-    size = _chunk_rows(rows.sparkSession)
-    last = F.greatest(F.floor((F.col(count) - 1) / size), F.lit(0)).cast("long")
-    per_chunk = groups.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return rows.join(per_chunk, list(partition))
-
-
-def join_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join one-row-per-key ``groups`` onto rows whose keys may be badly skewed.
-
-    Small inputs are left to the planner. Otherwise the groups are staged, which
-    tells their real size: below the broadcast threshold the planner broadcasts
-    them. Beyond it each group is copied once per salt and every row picks its
-    salt from ``spread_by`` (columns that differ inside a group), so the rows of a
-    hot key meet their group in many tasks.
-    """
-    keys = list(keys)
-    if how not in ("inner", "left"):
-        raise ValueError("join_groups keeps the rows' side: inner or left")
-    if is_small(rows):
-        return rows.join(groups, keys, how)
-    groups = stage(groups, "groups")
-    if estimated_bytes(groups) <= _broadcast_limit(rows.sparkSession):
-        return rows.join(groups, keys, how)
-    salts = setting(rows.sparkSession, SALTS)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    chunks = rows.select(*keys, "_chunk").distinct()
+    return join_on(rows, join_on(chunks, groups, keys), [*keys, "_chunk"])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums along ``seq`` inside each group."""
     keys = list(keys)
-    if is_small(df):
-        window = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(window).alias(name) for name, c in sums.items()])
-
     size = _chunk_rows(df.sparkSession)
     rows = df.withColumn("_chunk", F.floor(F.col(seq) / size).cast("long"))
     totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
@@ -192,7 +125,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: Mapping[str,
         *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in sums],
     )
     within = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(totals, [*keys, "_chunk"]).select(
+    return join_on(rows, totals, [*keys, "_chunk"]).select(
         *df.columns,
         *[(F.col(f"_b_{name}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in sums.items()],
     )

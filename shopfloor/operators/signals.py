@@ -17,7 +17,7 @@ from shopfloor.functions.maths import ratio
 from shopfloor.operators import rules as run_rules
 from shopfloor.operators.capability import gated_capability
 from shopfloor.operators.charts import ControlChart, imr_limits, moving_range
-from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, is_small, join_groups, running_sum
+from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, join_groups, running_sum
 from shopfloor.sources.staging import stage
 
 
@@ -84,7 +84,7 @@ def screening_audit(
 
 def kept(df: DataFrame, audit: DataFrame, keys: Sequence[str] = ("signal",)) -> DataFrame:
     """Rows of the sensors the audit keeps (one audit row per sensor, so the join filters)."""
-    return join_groups(df, audit.where("status = 'keep'").select(*keys), keys, ["row_id"])
+    return join_groups(df, audit.where("status = 'keep'").select(*keys), keys)
 
 
 def signal_charts(
@@ -109,15 +109,13 @@ def signal_charts(
     counted = running_sum(rows, keys, "_pos", {"_seen": F.when(F.col("point").isNotNull(), 1).otherwise(0)})
     cut, partition = chunked(counted, keys, "_pos", lead_in=1)
     cut = cut.withColumn("mr", moving_range("point", partition, "_pos")).where(F.col("_own") & F.col("point").isNotNull())
-    present = cut.select(*keys, (F.col("_seen") - 1).alias("idx"), *carry, "point", "mr")
-    if not is_small(present):
-        # Limits and rules both start here; without this the gap handling would run twice.
-        present = stage(present, "present")
+    # Limits and rules both start here; without this the gap handling would run twice.
+    present = stage(cut.select(*keys, (F.col("_seen") - 1).alias("idx"), *carry, "point", "mr"), "present")
 
     limits = imr_limits(present, keys)
     cut, partition = chunked(present, keys, "idx")
-    group = limits.select(*keys, F.col("n_points").alias("_n"), "center", "sigma_zone", "ucl", "lcl")
-    tested = attach_group(cut, partition, group, keys, "_n")
+    group = limits.select(*keys, "center", "sigma_zone", "ucl", "lcl")
+    tested = attach_group(cut, group, keys)
     charted = run_rules.with_rules(tested, partition, "idx", "point", "center", "sigma_zone", rule_set)
     before = F.lag("point").over(Window.partitionBy(*partition).orderBy("idx"))
     charted = charted.withColumn("previous", before).where("_own")
@@ -149,7 +147,7 @@ def present_runs(df: DataFrame, position: str, keys: Sequence[str] = ("signal",)
 
 def signal_capability(df: DataFrame, chart: ControlChart, limits: DataFrame) -> DataFrame:
     """Capability of each sensor against the limits the caller supplies."""
-    wanted = join_groups(df, limits.select(*chart.keys), chart.keys, ["row_id"])
+    wanted = join_groups(df, limits.select(*chart.keys), chart.keys)
     return gated_capability(wanted, chart, limits, need_limits=True)
 
 

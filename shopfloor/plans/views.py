@@ -28,7 +28,7 @@ def spc_subgroups(spark: SparkSession, folder: str, size: int = 5) -> DataFrame:
     )
     whole = F.col("n") - F.col("n") % size
     return (
-        join_groups(rows, totals, ["stream"], ["row_id"])
+        join_groups(rows, totals, ["stream"])
         .where(F.col("seq") < whole)
         .select("stream", (F.floor(F.col("seq") / size) + 1).cast("long").alias("subgroup"), "seq", "value")
     )

@@ -206,7 +206,7 @@ class Contract:
             F.col(row_no).alias("row_no"), *[by_name[c].typed(df).alias(k) for c, k in zip(self.unique, keys)]
         ).dropna(subset=keys)
         first = rows.groupBy(*keys).agg(F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-        repeats = join_groups(rows, first.drop("_c"), keys, ["row_no"]).where(F.col("row_no") > F.col("_first"))
+        repeats = join_groups(rows, first.drop("_c"), keys).where(F.col("row_no") > F.col("_first"))
         shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
         value = shown if len(keys) == 1 else F.concat(F.lit("("), shown, F.lit(")"))
         msg = F.lit(self.unique_message)

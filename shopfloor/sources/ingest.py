@@ -50,7 +50,7 @@ def number_file_rows(df: DataFrame, out: str, first: int = 0) -> DataFrame:
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_block", "_head", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     number = F.col("_place") - F.col("_head") + F.col("_before") + first
-    return join_groups(placed, splits, ["_file", "_block"], ["_place"]).select(*df.columns, number.alias(out))
+    return join_groups(placed, splits, ["_file", "_block"]).select(*df.columns, number.alias(out))
 
 
 def read_table(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:

@@ -123,7 +123,7 @@ def last_window_rows(df: DataFrame, subgroup_size: int, window: int = WINDOW, st
     sizes = df.groupBy(stream).agg(F.count(F.lit(1)).alias("_n"))
     whole = F.col("_n") - F.col("_n") % subgroup_size
     first = F.greatest(F.lit(0), whole - window * subgroup_size)
-    kept = join_groups(df, sizes, [stream], ["seq"]).where((F.col("seq") >= first) & (F.col("seq") < whole))
+    kept = join_groups(df, sizes, [stream]).where((F.col("seq") >= first) & (F.col("seq") < whole))
     return kept.select(
         *df.columns,
         (F.col("seq") - first).alias("place"),

@@ -23,29 +23,26 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    one_task(session)
     yield session
     session.stop()
 
 
-def one_task(spark):
-    """Treat every input as small (frames made from Python rows have no known size)."""
-    spark.conf.set("shopfloor.smallBytes", str(10**30))
+def whole(spark):
+    """The settings of a run as it comes: chunks of a million rows, broadcasts where the planner likes."""
     spark.conf.unset("shopfloor.chunkRows")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def spread(spark, chunk_rows=16):
-    """Treat every input as large, with short chunks and no broadcasts."""
-    spark.conf.set("shopfloor.smallBytes", "0")
+    """What large inputs bring: many chunks to a group, and no broadcasts."""
     spark.conf.set("shopfloor.chunkRows", str(chunk_rows))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
-@pytest.fixture(params=["one_task", "spread"])
+@pytest.fixture(params=["whole", "spread"])
 def mode(request, spark):
-    """Run a test on the small-input path and again on the path for large inputs."""
+    """Run a test with whole groups in a chunk, and again with groups cut into many."""
     if request.param == "spread":
         spread(spark)
     yield request.param
-    one_task(spark)
+    whole(spark)

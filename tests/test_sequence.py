@@ -1,15 +1,19 @@
 import random
+import re
 
-from conftest import one_task, spread
+from conftest import spread, whole
 from pyspark.sql import functions as F
+from shopfloor.operators import signals
+from shopfloor.operators.capability import histogram
+from shopfloor.operators.charts import control_chart, violation_summary
+from shopfloor.operators.normality import shapiro_wilk
 from shopfloor.operators.rules import with_rules
 from shopfloor.operators.sequence import (
     attach_group,
     chunked,
     dense_sequence,
-    input_bytes,
-    is_small,
     join_groups,
+    join_on,
     running_sum,
 )
 
@@ -37,9 +41,9 @@ def test_dense_sequence_without_keys(spark, mode):
 
 
 def test_running_sum(spark, mode):
-    rows = dense_sequence(frame(spark).where("k is not null"), ["k"], ["id"])
+    rows = dense_sequence(frame(spark), ["k"], ["id"])
     got = {(r.k, r.id): r.total for r in running_sum(rows, ["k"], "seq", {"total": F.col("v")}).collect()}
-    for k in ("hot", "cold"):
+    for k in ("hot", "cold", None):
         total = 0
         for r in sorted(r for r in ROWS if r[0] == k):
             total += r[2]
@@ -51,13 +55,13 @@ def test_chunks_are_bounded_and_led_in(spark):
     try:
         rows = spark.range(105).select(F.lit("a").alias("k"), F.col("id").alias("seq"))
         cut, partition = chunked(rows, ["k"], "seq", 14)
-        groups = spark.sql("select 'a' as k, 105L as n, 7 as limit_value")
-        joined = attach_group(cut, partition, groups, ["k"], "n")
+        groups = spark.sql("select 'a' as k, 7 as limit_value")
+        joined = attach_group(cut, groups, ["k"])
         by_chunk = {}
         for r in joined.collect():
             by_chunk.setdefault(r["_chunk"], []).append((r.seq, r["_own"]))
     finally:
-        one_task(spark)
+        whole(spark)
     assert partition == ["k", "_chunk"] and sorted(by_chunk) == list(range(6))
     for chunk, rows in by_chunk.items():
         own = sorted(s for s, mine in rows if mine)
@@ -68,25 +72,52 @@ def test_chunks_are_bounded_and_led_in(spark):
 
 def test_join_groups_keeps_hot_rows_whole(spark, mode):
     groups = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, g int")
-    inner = join_groups(frame(spark), groups, ["k"], ["id"])
+    inner = join_groups(frame(spark), groups, ["k"])
     assert inner.groupBy("k", "g").count().orderBy("k").collect() == [("cold", 2, 5), ("hot", 1, 300)]
-    left = join_groups(frame(spark), groups, ["k"], ["id"], "left")
+    left = join_groups(frame(spark), groups, ["k"], "left")
     assert left.count() == 307 and left.where("g is null").count() == 2
 
 
-def test_size_check_follows_the_inputs(spark, tmp_path):
-    spark.conf.unset("shopfloor.smallBytes")
-    spark.range(1000).write.parquet(str(tmp_path / "t"))
-    t = spark.read.parquet(str(tmp_path / "t"))
-    assert 0 < input_bytes(t) < 100_000 and is_small(t)
-    spark.range(500).write.parquet(str(tmp_path / "u"))
-    u = spark.read.parquet(str(tmp_path / "u")).withColumnRenamed("id", "id2")
-    # a join's own estimate is a product; what it reads is not, and a table read twice counts once
-    assert input_bytes(t.join(u, F.col("id") == F.col("id2"))) == input_bytes(t) + input_bytes(u)
-    assert input_bytes(t.union(t)) == input_bytes(t)
-    spark.conf.set("shopfloor.smallBytes", "10")
-    assert not is_small(t)
-    one_task(spark)
+def test_join_on_matches_null_keys(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")
+    right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, y int")
+    assert sorted(join_on(left, right, ["k"]).collect()) == [(None, 1, 10)]
+    assert {tuple(r) for r in join_on(left, right, ["k"], "left").collect()} == {(None, 1, 10), ("a", 2, None)}
+
+
+def awkward_points(spark):
+    """Streams with a null name, null readings in chunk-filling numbers, a NaN and a single point."""
+    rows = [(k, i, None if k == "gaps" and i % 2 else float(i * i % 7)) for k in ("gaps", None, "full") for i in range(40)]
+    rows += [("nan", i, float("nan") if i == 3 else 1.0 * i) for i in range(6)] + [("one", 0, 1.0)]
+    return spark.createDataFrame(rows, "k string, i long, value double")
+
+
+def test_chunks_change_no_row(spark):
+    """Charts, runs, histograms and normality: the same rows whether groups are cut or not."""
+    df = awkward_points(spark).withColumn("row_id", F.col("i"))
+
+    def everything():
+        chart = control_chart(df, "I-MR", ["k"], order=["i"], carry=["i"])
+        sensors = signals.signal_charts(df, ["k"])
+        finite = df.where("k is null or k != 'nan'")
+        frames = [chart.limits, chart.points, sensors.limits, sensors.points, violation_summary(chart)]
+        frames += [signals.present_runs(df, "i", ["k"]), histogram(finite, ["k"]), shapiro_wilk(finite, ["k"], "value", "i")]
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    plain = everything()
+    spread(spark, 16)
+    try:
+        cut = everything()
+    finally:
+        whole(spark)
+    assert [len(x) for x in plain] == [len(x) for x in cut]
+    rounded = lambda rows: [re.sub(r"(\d\.\d{9})\d*", r"\1", r) for r in rows]
+    assert list(map(rounded, plain)) == list(map(rounded, cut))
+    limits, points, runs, bins = plain[0], plain[1], plain[5], plain[6]
+    assert len(points) == 40 * 3 + 6 + 1 and sum("k=None" in r for r in points) == 40
+    assert sum("k='nan'" in r and "not_finite" in r for r in limits) == 1
+    assert sum("k=None" in r for r in runs) == 40
+    assert any("k=None" in r and "n_values=0" not in r for r in bins)
 
 
 def test_rules_cost_one_exchange(spark):
@@ -97,8 +128,8 @@ def test_rules_cost_one_exchange(spark):
     assert plan.count("Exchange ") == 1
 
 
-def test_large_path_never_windows_over_a_whole_stream(spark, mode):
+def test_windows_never_run_over_a_whole_stream(spark, mode):
     rows = spark.createDataFrame([("a", i, random.Random(i).random()) for i in range(50)], "k string, idx long, x double")
     cut, partition = chunked(rows, ["k"], "idx")
-    assert partition == (["k", "_chunk"] if mode == "spread" else partition)
+    assert partition == ["k", "_chunk"]
     assert cut.where("_own").count() == 50
