@@ -94,9 +94,9 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str,
         leaf = TaskContext.get().partitionId() << 10  # up to 1024 sections a partition
         columns: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                keys = batch.column(0)[at : at + 64].to_pylist()
-                for k, ids in zip(keys, source.encode(batch.column(1)[at : at + 64].to_pylist())):
+            for at in range(0, batch.num_rows, 256):
+                keys = batch.column(0)[at : at + 256].to_pylist()
+                for k, ids in zip(keys, source.encode(batch.column(1)[at : at + 256].to_pylist())):
                     ids = np.concatenate([ids, end]).astype("<u4")
                     for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                         crc = zlib.crc32(ids[start : start + length].tobytes())

@@ -176,9 +176,9 @@ def write_token_files(
         with created(target, ".ids") as (name, out):
             writer = TokenFileWriter(out)
             for batch in (b for part in ([first], batches) for b in part):
-                for at in range(0, batch.num_rows, 64):
-                    keys = batch.column(0)[at : at + 64].to_pylist()
-                    for k, ids in zip(keys, source.encode(batch.column(1)[at : at + 64].to_pylist())):
+                for at in range(0, batch.num_rows, 256):
+                    keys = batch.column(0)[at : at + 256].to_pylist()
+                    for k, ids in zip(keys, source.encode(batch.column(1)[at : at + 256].to_pylist())):
                         writer.add(k, np.concatenate([ids, end]))
             writer.close()
         yield pa.RecordBatch.from_pydict({"file": [name], "place": [place], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.sizes)]})

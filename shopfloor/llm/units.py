@@ -10,14 +10,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
 SPACE = "\t-\r \x85\xa0  -     　"
 """Unicode white space, as a regular-expression class body (the tokenizers' ``\\s``)."""
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_ODD_ASCII = re.compile("[\t\v\f\r]|[ \n][ \n]")
-_ODD = re.compile(f"[\t\v\f\r\x85\xa0  -     　]|[ \n][ \n]")
+_ODD = ["\t", "\v", "\f", "\r", "\0", "  ", "\n\n", " \n", "\n "]
+_ODD_WIDE = [c for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 SLICE = 2_000_000
 """Characters cut into units at a time; longer texts go through in slices."""
 
@@ -31,7 +32,7 @@ def slices(text: str) -> Iterator[list[str]]:
     """
     if not text:
         return
-    if (_ODD_ASCII if text.isascii() else _ODD).search(text) or text[0] in " \n" or text[-1] in " \n" or "\0" in text:
+    if text[0] in " \n" or text[-1] in " \n" or _is_odd(text):
         held: list[str] = []
         size = 0
         for found in _UNIT.finditer(text):
@@ -53,6 +54,11 @@ def slices(text: str) -> Iterator[list[str]]:
         start = end
 
 
+def _is_odd(text: str) -> bool:
+    """Whether words are apart by anything but one plain space or line break."""
+    return any(c in text for c in _ODD) or not text.isascii() and any(c in text for c in _ODD_WIDE)
+
+
 def spelled(unit: str) -> str:
     """The characters a unit of ``slices`` stands for."""
     return unit[1:] if unit[0] == "\0" else unit if unit[0] == "\n" else " " + unit
@@ -61,9 +67,9 @@ def spelled(unit: str) -> str:
 class UnitEncoder:
     """Ids of texts by one tokenizer file, each distinct unit encoded by the library once per worker."""
 
-    LONGEST_KEPT = 48
-    MOST_KEPT = 700_000
-    """Bound of the cache: units kept at most, none longer than LONGEST_KEPT characters."""
+    MOST_KEPT = 1_500_000
+    MOST_CHARS = 24_000_000
+    """Bounds of the cache: units kept and their total characters."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
@@ -75,86 +81,101 @@ class UnitEncoder:
         special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.border = special[0].content
         self.border_id = self.tokenizer.token_to_id(self.border)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _encoded(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit. Many go through the library in one text, with a special token between
-        them: special tokens are cut out first, so each unit is encoded as if alone."""
-        texts = [spelled(u) for u in units]
-        joined = [t for t in texts if self.border not in t]
-        ids: dict[str, np.ndarray] = {}
-        for at in range(0, len(joined), 100):
-            part = joined[at : at + 100]
+        self._keep({}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, slot: dict[str, int], starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> None:
+        self.slot, self.starts, self.sizes, self.pool = slot, starts, sizes, pool
+        self.uses = np.zeros(len(sizes), np.int64)
+        self.chars = sum(map(len, slot))
+
+    def _trim(self) -> None:
+        """Forget the units used once only; all of them where that frees less than half."""
+        units = np.array(list(self.slot), dtype=object)
+        kept = np.flatnonzero(self.uses > 1)
+        if 2 * len(kept) > self.MOST_KEPT or 2 * sum(map(len, units[kept])) > self.MOST_CHARS:
+            kept = kept[:0]
+        sizes = self.sizes[kept]
+        starts = np.cumsum(sizes) - sizes
+        pool = self.pool[_ragged(self.starts[kept], sizes)]
+        self._keep(dict(zip(units[kept].tolist(), range(len(kept)))), starts, sizes, pool)
+
+    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and numbers of ids. Many units go through the library in one text, with a special token
+        between them: special tokens are cut out first, so each unit is encoded as if alone."""
+        ids, sizes = [], []
+        for at in range(0, len(texts), 100):
+            part = texts[at : at + 100]
             flat = np.array(self.tokenizer.encode(self.border.join(part), add_special_tokens=False).ids, np.uint32)
-            pieces = np.split(flat, np.flatnonzero(flat == self.border_id))
-            if len(pieces) != len(part):
+            borders = np.flatnonzero(flat == self.border_id)
+            if len(borders) != len(part) - 1:
                 raise ValueError("the tokenizer did not keep the borders between units")
-            ids.update(zip(part, [pieces[0], *[p[1:] for p in pieces[1:]]]))
-        for t in texts:
-            if t not in ids:
-                ids[t] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        return [ids[t] for t in texts]
-
-    def _learn(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.slot]
-        if not new:
-            return
-        if len(self.slot) + len(new) > self.MOST_KEPT:
-            self._clear()
-            new = list(dict.fromkeys(units))
-        found = self._encoded(new)
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.slot.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            sizes.append(np.diff(borders, prepend=-1, append=len(flat)) - 1)
+            ids.append(np.delete(flat, borders))
+        return ids, sizes
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [u for u in new if self.border not in u]
+        ids, sizes = self._encoded([spelled(u) for u in plain])
+        if len(plain) < len(new):
+            odd = [u for u in new if self.border in u]
+            ids += [np.array(self.tokenizer.encode(spelled(u), add_special_tokens=False).ids, np.uint32) for u in odd]
+            sizes.append(np.array([len(i) for i in ids[-len(odd) :]]))
+            plain += odd
+        sizes = np.concatenate(sizes).astype(np.int64)
+        self.slot.update(zip(plain, range(len(self.sizes), len(self.sizes) + len(plain))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, *found]).astype(np.uint32)
+        self.pool = np.concatenate([self.pool, *ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.chars += sum(map(len, plain))
 
     def _gather(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the units and each unit's number of ids."""
-        slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
+        """Flat ids of the units, and where each unit's end; unknown units are learned first."""
+        slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(slots < 0).tolist()
+        new = list({units[i] for i in missing})
+        if len(self.slot) + len(new) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
+            self._trim()
+            slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
+            missing = np.flatnonzero(slots < 0).tolist()
+            new = list({units[i] for i in missing})
+        if new:
+            self._learn(new)
+            slots[missing] = [self.slot[units[i]] for i in missing]
+        self.uses += np.bincount(slots, minlength=len(self.uses))
         sizes = self.sizes[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[slots] - (ends - sizes), sizes)
-        return self.pool[at], sizes
+        return self.pool[_ragged(self.starts[slots], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (null: none), equal to the library's on the whole text."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
-        size = 0
+        held: list[str] = []
+        owners: list[tuple[int, int]] = []
 
         def flush() -> None:
-            flat = [u for _, units in held for u in units]
-            long = {u for u in flat if len(u) > self.LONGEST_KEPT}
-            self._learn([u for u in flat if u not in long] if long else flat)
-            if long:
-                for k, units in held:
-                    for u in units:
-                        parts[k].append(self._encoded([u])[0] if u in long else self._gather([u])[0])
-                return
-            ids, sizes = self._gather(flat)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids, ends = self._gather(held)
             at = 0
-            for k, units in held:
-                parts[k].append(ids[ends[at] : ends[at + len(units)]])
-                at += len(units)
+            for k, n in owners:
+                parts[k].append(ids[ends[at] : ends[at + n]])
+                at += n
+            held.clear()
+            owners.clear()
 
         for k, text in enumerate(texts):
             for units in slices(text or ""):
-                held.append((k, units))
-                size += len(units)
-                if size >= 200_000:
+                held += units
+                owners.append((k, len(units)))
+                if len(held) >= 200_000:
                     flush()
-                    held, size = [], 0
         flush()
-        return [np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
 _encoders: dict[str, UnitEncoder] = {}
