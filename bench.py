@@ -37,6 +37,18 @@ HEADLINE = [
     "yield_summary",
     "loop_end_to_end",
     "live_snapshot_xbar_r",
+    "spc_rules_we",
+    "spc_violation_summary",
+    "spc_xbar_s",
+    "spc_histogram",
+    "risk_rank_ap",
+    "risk_counters",
+    "risk_heatmap",
+    "export_sanitized",
+    "action_effectiveness",
+    "signals_missingness",
+    "signals_imr",
+    "feedback",
 ]
 
 

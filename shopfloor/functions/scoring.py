@@ -124,6 +124,7 @@ def recommended_chart(data_type: Column, subgroup_size: Column, defect_based: Co
 
 
 def tolerance_problem(lsl: Column, usl: Column) -> Column:
+    # Fixed value: the text is output.
     return F.when(
         lsl.isNotNull() & usl.isNotNull() & (usl <= lsl),
         "USL must be greater than LSL — tolerance ignored until corrected.",

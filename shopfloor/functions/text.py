@@ -51,10 +51,27 @@ def verdict_sentence(verdict: Column) -> Column:
     return out.otherwise(VERDICT_UNKNOWN)
 
 
+# Sentences of the reports, part of their output.
+NOTE_STABLE = "In statistical control"
+NOTE_SIGNALS = " WE signal(s) — Cpk indicative only"
+WARNING_BEFORE = "Process is not in statistical control — "
+WARNING_AFTER = (
+    " signal(s) detected on the control chart. Capability indices (Cp/Cpk/Pp/Ppk) are not a "
+    "valid capability claim until the process is stabilized; treat these values as indicative only."
+)
+PROMPT_BEFORE, PROMPT_POINTS, PROMPT_CAUSE = "Characteristic '", "' went out of statistical control (", "). Source cause '"
+PROMPT_UNLINKED = "an unlinked cause (no Control Plan source found)"
+PROMPT_RATED, PROMPT_SUGGESTED = "' is currently rated Occurrence ", "; the observed out-of-control rate maps to a candidate Occurrence "
+PROMPT_AFTER = (
+    " (AIAG-4 / SAE J1739 occurrence rate table). Review the occurrence rating / open a CAPA — this is a "
+    "candidate, not an applied change."
+)
+
+
 def stability_note(signals: Column) -> Column:
     """Short stability text of a capability report."""
-    return F.when(signals == 0, "In statistical control").otherwise(
-        F.concat(signals.cast("string"), F.lit(" WE signal(s) — Cpk indicative only"))
+    return F.when(signals == 0, NOTE_STABLE).otherwise(
+        F.concat(signals.cast("string"), F.lit(NOTE_SIGNALS))
     )
 
 
@@ -63,12 +80,9 @@ def stability_warning(signals: Column, rule_set: str) -> Column:
     return F.when(
         signals > 0,
         F.concat(
-            F.lit("Process is not in statistical control — "),
+            F.lit(WARNING_BEFORE),
             signals.cast("string"),
-            F.lit(
-                f" {rule_set} signal(s) detected on the control chart. Capability indices (Cp/Cpk/Pp/Ppk) are not a "
-                "valid capability claim until the process is stabilized; treat these values as indicative only."
-            ),
+            F.lit(f" {rule_set}{WARNING_AFTER}"),
         ),
     )
 
@@ -77,20 +91,17 @@ def capa_prompt(
     characteristic: Column, points: Column, rules: Column, cause: Column, current: Column, suggested: Column
 ) -> Column:
     return F.concat(
-        F.lit("Characteristic '"),
+        F.lit(PROMPT_BEFORE),
         characteristic,
-        F.lit("' went out of statistical control ("),
+        F.lit(PROMPT_POINTS),
         points.cast("string"),
         F.lit(" point(s), "),
         F.concat_ws(", ", rules),
-        F.lit("). Source cause '"),
-        F.coalesce(cause, F.lit("an unlinked cause (no Control Plan source found)")),
-        F.lit("' is currently rated Occurrence "),
+        F.lit(PROMPT_CAUSE),
+        F.coalesce(cause, F.lit(PROMPT_UNLINKED)),
+        F.lit(PROMPT_RATED),
         F.coalesce(current.cast("string"), F.lit("unknown")),
-        F.lit("; the observed out-of-control rate maps to a candidate Occurrence "),
+        F.lit(PROMPT_SUGGESTED),
         suggested.cast("string"),
-        F.lit(
-            " (AIAG-4 / SAE J1739 occurrence rate table). Review the occurrence rating / open a CAPA — this is a "
-            "candidate, not an applied change."
-        ),
+        F.lit(PROMPT_AFTER),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions import fixed, scoring
 from shopfloor.operators.sequence import dense_sequence, join_groups, running_sum
 
+# The columns of the critical-items table, in order.
 CRITICAL_COLUMNS = [
     "Failure_Mode",
     "Process_Step",
@@ -184,6 +185,7 @@ def insight(df: DataFrame, keys: Sequence[str] = (), k: int = 3) -> DataFrame:
 def health_warnings(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows at the ends of a scale and over-long texts, one warning row per finding."""
     checks = []
+    # The texts below are output.
     for c in ("Severity", "Occurrence", "Detection"):
         if c in df.columns:
             checks.append((F.col(c) == 10, f" row(s) have {c} = 10 (maximum score)"))

@@ -57,16 +57,14 @@ select ID as row_id, concat('Owner ', cast(ID % 3 as varchar)) as owner,
        case ID % 3 when 0 then 'Open' when 1 then 'In-Progress' else 'Closed' end as status,
        cast(null as int) as s_after, cast(case when ID % 8 = 0 then greatest(1, Occurrence - 2) end as int) as o_after,
        cast(greatest(1, Detection - 3) as int) as d_after
-from flat where ID % 4 = 0"""
+from flat"""
 GAGE = """
-select study_id, part, appraiser, trial, measurement from (
-  select concat(l_returnflag, l_linestatus) as study_id, cast(l_partkey % 10 as varchar) as part,
-         cast(l_suppkey % 3 as varchar) as appraiser,
-         cast(row_number() over (partition by l_returnflag, l_linestatus, l_partkey % 10, l_suppkey % 3
-              order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as bigint) as trial,
-         (l_partkey % 10) * 10.0 + (l_suppkey % 3) * 0.1
-           + l_quantity * (case l_returnflag when 'A' then 0.02 when 'N' then 0.2 else 1.0 end) as measurement
-  from lineitem) where trial <= 3"""
+select concat(l_returnflag, l_linestatus, '-', cast(cast(floor(l_orderkey / 2000.0) as bigint) as varchar)) as study_id,
+       cast(l_partkey % 10 as varchar) as part, cast(l_suppkey % 3 as varchar) as appraiser,
+       cast(l_linenumber % 3 + 1 as bigint) as trial,
+       round(avg((l_partkey % 10) * 10.0 + (l_suppkey % 3) * 0.1
+           + l_quantity * (case l_returnflag when 'A' then 0.02 when 'N' then 0.2 else 1.0 end)), 9) as measurement
+from lineitem group by 1, 2, 3, 4"""
 SIGNALS = """
 select g.row_id, g.label, concat('sensor_', lpad(cast(s.n as varchar), 3, '0')) as signal,
        cast(case when s.n <= 7 then w.v when s.n = 8 then 5.0
@@ -654,7 +652,7 @@ select row_no, {i} as ord, '{name}' as "column", v as value, case {whens} end as
 from (select row_no, v, {num('v')} as x from (select row_no, {missing} as v from raw))"""
 
 
-def messages(hint: str) -> str:
+def messages() -> str:
     shown = """case when value is null then 'None' when try_cast(value as double) is not null then value
                     else concat(chr(39), value, chr(39)) end"""
     cut = f"case when length({shown}) > 50 then concat(substr({shown}, 1, 47), '...') else {shown} end"
@@ -662,14 +660,14 @@ def messages(hint: str) -> str:
 select row_no, ord, "column", value, msg,
        case when "column" is null then concat('Row ', cast(row_no as varchar), ': ', msg, '.')
             else concat('Row ', cast(row_no as varchar), ', column ', chr(39), "column", chr(39), ': ', msg, ' (got ', {cut}, ').')
-       end || ' Check your data against the template at {hint}.' as message
+       end as message
 from cells where msg is not null"""
 
 
-def repeats(name: str, msg: str, value: str, keys: str, hint: str, where: str = "true") -> str:
+def repeats(name: str, msg: str, value: str, keys: str, where: str = "true") -> str:
     return f"""
 select row_no, 1000 as ord, cast(null as varchar) as "column", {value} as value, '{msg}' as msg,
-       concat('{name} dataset is invalid: {msg}: [', {value}, ']. Check your data against the template at {hint}.') as message
+       concat('{name} dataset is invalid: {msg}: [', {value}, '].') as message
 from (select *, row_number() over (partition by {keys} order by row_no) as nth from keyed where {where}) where nth > 1"""
 
 
@@ -732,7 +730,6 @@ select ID + 1 as row_no,
        case ID % 97 when 7 then '' else Cause end as Cause,
        case ID % 97 when 3 then '5.0' else cast(Occurrence as varchar) end as Occurrence, Current_Control,
        case ID % 97 when 4 then '11' else cast(Detection as varchar) end as Detection from flat"""
-    fmea_hint = "data/fmea_input_template.csv"
     fmea_cells = " union all ".join(
         field(i, c, cases, text_like=cases is strict_text) for i, (c, cases) in enumerate(columns)
     )
@@ -800,29 +797,27 @@ select row_no, case when usl <= lsl then 10 else 11 end as ord, cast(null as var
 from (select row_no, try_cast(nullif(lsl, '') as double) as lsl, try_cast(nullif(usl, '') as double) as usl,
              try_cast(nullif(target, '') as double) as target from raw)
 where row_no not in (select row_no from fields where msg is not null) and lsl is not null and usl is not null"""
-    plan_hint, gage_hint = "data/control_plan_template.csv", "data/gage_rr_template.csv"
     return {
         "ingest_errors_risk": with_(
-            messages(fmea_hint)
+            messages()
             + " union all "
-            + repeats("FMEA", "duplicate IDs found", "cast(ID as varchar)", "ID", fmea_hint),
+            + repeats("FMEA", "duplicate IDs found", "cast(ID as varchar)", "ID"),
             flat=FLAT,
             raw=fmea_raw,
             cells=fmea_cells,
             keyed="select row_no, cast(ID as bigint) as ID from raw",
         ),
         "ingest_errors_spc": with_(
-            messages("data/demo_composites_aerospace.csv"), spc_var=SPC_VAR, raw=spc_raw, cells=spc_cells
+            messages(), spc_var=SPC_VAR, raw=spc_raw, cells=spc_cells
         ),
         "ingest_errors_gage": with_(
-            messages(gage_hint)
+            messages()
             + " union all "
             + repeats(
                 "Gage R&R",
                 "duplicate (part, appraiser, trial) rows found",
                 "concat('(', concat_ws(', ', part, appraiser, cast(trial as varchar)), ')')",
                 "part, appraiser, trial",
-                gage_hint,
                 "part is not null and appraiser is not null and trial is not null",
             ),
             gage=GAGE,
@@ -831,9 +826,9 @@ where row_no not in (select row_no from fields where msg is not null) and lsl is
             keyed=gage_keyed,
         ),
         "ingest_errors_plan": with_(
-            messages(plan_hint)
+            messages()
             + " union all "
-            + repeats("Control Plan", "duplicate characteristic rows found", "characteristic", "characteristic", plan_hint),
+            + repeats("Control Plan", "duplicate characteristic rows found", "characteristic", "characteristic"),
             raw=plan_raw,
             fields=plan_cells,
             cells=f"select * from fields union all {plan_rules}",

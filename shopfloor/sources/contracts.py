@@ -20,7 +20,6 @@ from shopfloor.operators.sequence import join_groups
 ROW_NO = "_row_no"
 ECHO_LENGTH = 50
 ERROR_COLUMNS = ["row_no", "ord", "column", "value", "msg", "message"]
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
 NUMBER_TEXT = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
 
 
@@ -50,6 +49,8 @@ class Field:
     def raw(self, df: DataFrame) -> Column:
         """Cell as text, null when missing (empty, NaN or null)."""
         c = F.col(self.name)
+        if isinstance(df.schema[self.name].dataType, T.IntegralType):
+            return c.cast("string")
         if isinstance(df.schema[self.name].dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
         text = c.cast("string")
@@ -57,7 +58,12 @@ class Field:
         return F.when(~missing, text)
 
     def number(self, df: DataFrame) -> Column:
+        """The cell's value: whole numbers of strict columns exactly, as long; double otherwise."""
+        if isinstance(df.schema[self.name].dataType, T.IntegralType):
+            return F.col(self.name).cast("long" if self.kind == "strict_int" else "double")
         text = F.trim(self.raw(df))
+        if self.kind == "strict_int":
+            return text.try_cast("long")
         return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
     def problems(self, df: DataFrame) -> list[tuple[Column, str]]:
@@ -73,7 +79,7 @@ class Field:
             listed = ", ".join(f"'{c}'" for c in self.choices[:-1]) + f" or '{self.choices[-1]}'"
             return [(missing, f"Input should be {listed}"), (~raw.isin(*self.choices), f"Input should be {listed}")]
         if self.kind == "strict_int":
-            found = [(missing, "Input should be a valid integer"), (~F.trim(raw).rlike(INTEGER_TEXT), "Input should be a valid integer")]
+            found = [(missing, "Input should be a valid integer"), (raw.isNotNull() & number.isNull(), "Input should be a valid integer")]
         else:
             what, kind = ("integer", "an integer") if self.kind == "int" else ("number", "a number")
             found = [
@@ -102,7 +108,7 @@ class Field:
             return F.trim(raw)
         if self.kind == "float":
             return self.number(df)
-        return self.number(df).try_cast("long") if self.name == "ID" else self.number(df).try_cast("int")
+        return self.number(df).try_cast("long" if self.kind == "strict_int" and self.high is None else "int")
 
 
 @dataclass(frozen=True)
@@ -265,7 +271,6 @@ FMEA = Contract(
     ),
     unique=("ID",),
     unique_message="duplicate IDs found",
-    hint="data/fmea_input_template.csv",
 )
 
 SPC = Contract(
@@ -275,7 +280,6 @@ SPC = Contract(
         Field("subgroup", "int", low=1),
         Field("value", "float"),
     ),
-    hint="data/demo_composites_aerospace.csv",
 )
 
 GAGE = Contract(
@@ -288,7 +292,6 @@ GAGE = Contract(
     ),
     unique=("part", "appraiser", "trial"),
     unique_message="duplicate (part, appraiser, trial) rows found",
-    hint="data/gage_rr_template.csv",
 )
 
 
@@ -316,7 +319,6 @@ PLAN = Contract(
     ),
     unique=("characteristic",),
     unique_message="duplicate characteristic rows found",
-    hint="data/control_plan_template.csv",
     row_rules=_tolerance_rules,
 )
 
@@ -356,9 +358,3 @@ def action_errors(edited: DataFrame) -> DataFrame:
     )
     return found.unionByName(bad)
 
-
-CONTRACTS = {c.name: c for c in (FMEA, SPC, GAGE, PLAN)}
-
-
-def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]

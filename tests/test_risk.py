@@ -41,7 +41,11 @@ def test_all_thousand_priorities(spark):
 
 @pytest.mark.parametrize(
     ("s", "o", "d", "ap"),
-    [(10, 10, 10, "High"), (9, 5, 1, "Medium"), (9, 1, 1, "Low"), (10, 1, 10, "Low"), (10, 2, 2, "Low"), (8, 7, 1, "Medium"), (5, 10, 1, "Medium"), (5, 5, 6, "Low"), (3, 10, 10, "Medium"), (3, 6, 10, "Low")],
+    # cells of the published table, from each severity band
+    [
+        (9, 8, 1, "High"), (10, 4, 6, "High"), (9, 2, 7, "High"), (8, 9, 9, "High"), (7, 4, 2, "Medium"), (7, 2, 5, "Medium"),
+        (6, 8, 5, "High"), (4, 6, 7, "Medium"), (5, 3, 10, "Low"), (2, 9, 7, "Medium"), (3, 8, 1, "Low"), (1, 10, 10, "Low"),
+    ],
 )
 def test_spot_priorities(spark, s, o, d, ap):
     assert banded(s, o, d) == ap
@@ -165,14 +169,14 @@ def test_actions(spark):
 
 
 def test_closed_loop(spark):
-    rows = flat(spark, [row(1, 7, 4, 6, step="Layup", component="Prepreg Ply", mode="Ply misalignment", cause="Poor visibility"), row(2, 3, 3, 3, component="Core")])
-    wild = [("ply", i, float(x)) for i, x in enumerate([0, 20] * 10)] + [("calm", i, x) for i, x in enumerate([1.0, 1.1, 0.9, 1.0, 1.1, 0.95])]
-    data = spark.createDataFrame(wild + [("ply", 20, 90.0), ("ply", 21, 90.0)], "stream string, subgroup long, value double")
-    binding = spark.createDataFrame([("Prepreg Ply — Ply misalignment", "ply"), ("Core — Crack", "calm"), ("Unknown", "ply")], "characteristic string, stream string")
+    rows = flat(spark, [row(1, 7, 4, 6, step="Riveting", component="Hinge", mode="Loose pin", cause="Worn die"), row(2, 3, 3, 3, component="Core")])
+    wild = [("pin", i, float(x)) for i, x in enumerate([0, 20] * 10)] + [("calm", i, x) for i, x in enumerate([1.0, 1.1, 0.9, 1.0, 1.1, 0.95])]
+    data = spark.createDataFrame(wild + [("pin", 20, 90.0), ("pin", 21, 90.0)], "stream string, subgroup long, value double")
+    binding = spark.createDataFrame([("Hinge — Loose pin", "pin"), ("Core — Crack", "calm"), ("Unknown", "pin")], "characteristic string, stream string")
     loop = pipelines.closed_loop(rows, data, binding, rule_set="we")
     got = {r.characteristic: r for r in loop.feedback.collect()}
-    assert set(got) == {"Prepreg Ply — Ply misalignment", "Unknown"}
-    known = got["Prepreg Ply — Ply misalignment"]
+    assert set(got) == {"Hinge — Loose pin", "Unknown"}
+    known = got["Hinge — Loose pin"]
     assert known.source_cause_id == "F1::F1-M1::F1-M1-C1" and known.source_failure_mode_id == "F1-M1" and known.current_occurrence == 4
     assert known.suggested_occurrence == 8 and known.ooc_rate == pytest.approx(2 / 22) and "Occurrence 4" in known.capa_prompt
     assert got["Unknown"].current_occurrence is None and "an unlinked cause" in got["Unknown"].capa_prompt and "unknown" in got["Unknown"].capa_prompt
