@@ -14,7 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from shopfloor.plans import catalog
-from shopfloor.sources.staging import release_staged
+from shopfloor.sources import staging
 
 HEADLINE = [
     "spc_imr_limits",
@@ -70,9 +70,10 @@ def main() -> None:
 
     def run(name: str) -> float:
         start = time.perf_counter()
-        catalog.REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
+        with staging.scope() as staged:
+            catalog.REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
         took = time.perf_counter() - start
-        release_staged(spark)
+        staged.release(spark)
         return took
 
     seconds = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from shopfloor.operators.feedback import occurrence_feedback
 from shopfloor.operators.normality import shapiro_wilk
 from shopfloor.operators.sequence import dense_sequence
 from shopfloor.plans import pipelines, reports, views
-from shopfloor.sources import contracts, export, scales
-from shopfloor.sources.staging import stage
-from shopfloor.streaming.live import live_snapshot
+from shopfloor.sources import contracts, export, ingest, scales
+from shopfloor.sources.staging import stage, workspace
+from shopfloor.streaming.live import OUTPUT, live_monitor, live_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -536,6 +537,14 @@ def plan_export(spark: SparkSession, d: str) -> DataFrame:
     return export.sanitized(export.plan_export(plan.control_plan(plan.named_modes(model(spark, d)))))
 
 
+@query
+def plan_export_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The plan held against its contract before it leaves."""
+    made = plan.control_plan(plan.named_modes(model(spark, d)))
+    numbered = dense_sequence(made, [], ["characteristic"], out=contracts.ROW_NO)
+    return export.sanitized(export.checked_plan_export(numbered, contracts.ROW_NO))
+
+
 @query
 def plan_source_index(spark: SparkSession, d: str) -> DataFrame:
     return plan.source_index(plan.named_modes(model(spark, d)))
@@ -755,3 +764,39 @@ def live_snapshot_imr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(chart.limits.select(*cols).join(found, "stream"))
 
 
+@query
+def live_monitor_xbar_r(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor run over all events as a stream; the last state of each chart."""
+    path = f"{d}/events.parquet"
+    # A pattern, as the table may be a file and a stream reads folders.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    rows = events.select(F.col("event_type").alias("stream"), F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = f"{workspace(spark)}/live-{uuid4().hex}"
+    running = live_monitor(rows, 5).writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
+    running.trigger(availableNow=True).start(out).awaitTermination()
+    last = spark.read.schema(OUTPUT).parquet(out).groupBy("stream").agg(F.max_by(F.struct("*"), "subgroup").alias("last"))
+    cols = [F.col("n_points").cast("long"), "center", "sigma_hat", "ucl", "lcl", F.col("violations").cast("long").alias("violation_events")]
+    return rounded(last.select("last.*").select("stream", *cols))
+
+
+# Files
+
+
+@query
+def file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All failure-mode rows out as CSV, and in again through the strict contract."""
+    path = f"{workspace(spark)}/upload-{uuid4().hex}.csv"
+    export.write_csv(views.fmea_flat(spark, d), path)
+    return ingest.load_table(spark, path, contracts.FMEA)
+
+
+@query
+def risk_meanings_from_file(spark: SparkSession, d: str) -> DataFrame:
+    """Meanings of all ratings, from a scale document read and checked as a file."""
+    entry = F.struct(F.col("score").cast("string"), "meaning")
+    one_map = lambda f: F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("factor") == f, entry)))).alias(f)
+    document = scales.default_scales(spark).agg(*[one_map(f) for f in scales.FACTORS])  # thirty rows
+    path = f"{workspace(spark)}/scale-{uuid4().hex}"
+    document.select(F.to_json(F.struct(F.lit("own").alias("name"), *scales.FACTORS)).alias("value")).coalesce(1).write.text(path)
+    rows = views.fmea_flat(spark, d).select("ID", "Severity", "Occurrence", "Detection")
+    return scales.label_ratings(rows, scales.load_scales(spark, path))

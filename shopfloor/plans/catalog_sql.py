@@ -1338,7 +1338,7 @@ select l.stream, n_points, round(center, 6) as center, round({sigma}, 6) as sigm
        violation_events from lim l join seen s on l.stream = s.stream"""
 
 
-def all_sql() -> dict[str, str]:
+def _by_domain() -> dict[str, str]:
     return {
         **spc(),
         **risk(),
@@ -1350,3 +1350,16 @@ def all_sql() -> dict[str, str]:
         "live_snapshot_xbar_r": with_(live_row("sigma_hat"), **live(5)),
         "live_snapshot_imr": with_(live_row("sigma"), **live(1)),
     }
+
+
+def all_sql() -> dict[str, str]:
+    made = _by_domain()
+    flat_columns = "ID, Process_Step, Component, Function, Failure_Mode, Effect, Severity, Cause, Occurrence, Current_Control, Detection"
+    return {
+        **made,
+        # What goes through a file or a stream comes out as it went in.
+        "file_roundtrip": with_(f"select {flat_columns} from flat", flat=FLAT),
+        "risk_meanings_from_file": made["rating_scale_labels"],
+        "plan_export_checked": made["plan_export"],
+        "live_monitor_xbar_r": made["live_snapshot_xbar_r"],
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from shopfloor.functions import text
 from shopfloor.operators.actions import ACTION_COLUMNS
 from shopfloor.operators.plan import PLAN_COLUMNS
+from shopfloor.sources.contracts import PLAN
 
 RISK_REPORT_COLUMNS = [
     "ID",
@@ -53,6 +54,11 @@ def plan_export(plan: DataFrame) -> DataFrame:
     return plan.select(*PLAN_COLUMNS)
 
 
+def checked_plan_export(plan: DataFrame, row_no: str) -> DataFrame:
+    """The plan for export, after its contract: an edited plan that breaks it raises."""
+    return plan_export(PLAN.require_valid(plan, row_no))
+
+
 def study_export(study: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return study.select(*keys, *STUDY_COLUMNS)
 

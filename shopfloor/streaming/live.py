@@ -50,7 +50,7 @@ def count_violations(points: np.ndarray, center: float, sigma: float, rule_set:
     return total
 
 
-def chart_window(means: list[float], ranges: list[float], size: int, rule_set: str) -> tuple | None:
+def chart_window(means: Sequence[float] | np.ndarray, ranges: Sequence[float] | np.ndarray, size: int, rule_set: str) -> tuple | None:
     """Limits and violation count of the window, or None while it has too few points."""
     points = np.asarray(means)
     if size == 1:
@@ -74,6 +74,7 @@ def live_monitor(
     order: Sequence[str] = ("ts", "row_id"),
     rule_set: str = "we",
     watermark: str | None = None,
+    idle_ms: int | None = None,
     window: int = WINDOW,
 ) -> DataFrame:
     """Streaming frame with one row per completed subgroup.
@@ -81,33 +82,44 @@ def live_monitor(
     State per stream is bounded: the open subgroup and the last ``window``
     means and ranges. Rows of a micro-batch are taken in ``order`` (its first
     column is the event time); batch size is bounded by the source's rate
-    options. With a ``watermark`` rows later than it are dropped.
+    options. With a ``watermark`` rows later than it are dropped, and the state of
+    a stream without rows for ``idle_ms`` of event time is forgotten. Null and NaN
+    readings are left out.
     """
     if subgroup_size != 1 and subgroup_size not in {row[0] for row in fixed.XBAR_R}:
         raise ValueError("subgroup_size must be 1 or between 2 and 10")
     rule_count(rule_set)
+    if idle_ms is not None and not watermark:
+        raise ValueError("idle_ms needs a watermark")
     order = list(order)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in OUTPUT.split(", ")]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         completed, open_, means, ranges = state.get if state.exists else (0, [], [], [])
-        open_, means, ranges = list(open_), list(means), list(ranges)
         arrived = pd.concat(list(batches)).sort_values(order)
+        values = np.concatenate([open_, arrived["value"].to_numpy(np.float64)])
+        whole = len(values) // subgroup_size
+        groups = values[: whole * subgroup_size].reshape(whole, subgroup_size)
+        all_means = np.concatenate([means, groups.mean(axis=1)])
+        all_ranges = np.concatenate([ranges, groups.max(axis=1) - groups.min(axis=1)]) if whole else np.asarray(ranges)
         out = []
-        for x in arrived["value"]:
-            open_.append(float(x))
-            if len(open_) < subgroup_size:
-                continue
-            completed += 1
-            means = [*means, sum(open_) / subgroup_size][-window:]
-            ranges = [*ranges, max(open_) - min(open_)][-window:]
-            open_ = []
-            charted = chart_window(means, ranges, subgroup_size, rule_set)
+        for k in range(len(means) + 1, len(all_means) + 1):
+            now = slice(max(0, k - window), k)
+            charted = chart_window(all_means[now], all_ranges[now], subgroup_size, rule_set)
             if charted:
-                out.append((key[0], completed, *charted))
-        state.update((completed, open_, means, ranges))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    rows = measurements.select(F.col(stream).alias("stream"), *order, F.col(value).cast("double").alias("value"))
+                out.append((key[0], completed + k - len(means), *charted))
+        state.update((completed + whole, values[whole * subgroup_size :].tolist(), all_means[-window:].tolist(), all_ranges[-window:].tolist()))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(int(arrived[order[0]].max().timestamp() * 1000) + idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    # A missing reading is no point of a chart, in the batch twin neither.
+    present = measurements.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = present.select(F.col(stream).alias("stream"), *order, F.col(value).cast("double").alias("value"))
     timeout = GroupStateTimeout.NoTimeout
     if watermark:
         rows, timeout = rows.withWatermark(order[0], watermark), GroupStateTimeout.EventTimeTimeout

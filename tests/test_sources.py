@@ -183,8 +183,12 @@ def test_action_errors_are_addressed_by_id(spark):
 
 
 def test_staged_tables_can_be_released(spark):
-    df = staging.stage(spark.range(3).toDF("x"), "probe")
-    assert df.count() == 3 and staging.release_staged(spark) >= 1
+    other = staging.stage(spark.range(2).toDF("x"), "probe")
+    with staging.scope() as mine:
+        df = staging.stage(spark.range(3).toDF("x"), "probe")
+        staging.stage_all({"a": df, "b": df})
+    assert df.count() == 3 and len(mine.paths) == 3
+    assert mine.release(spark) == 3 and other.count() == 2
 
 
 def test_identifiers_beyond_double_precision_keep_their_value(spark):
