@@ -108,11 +108,11 @@ def scale_table(scales: DataFrame, factor: str) -> DataFrame:
 
 
 def label_ratings(df: DataFrame, scales: DataFrame) -> DataFrame:
-    """Add the meaning of each rating; a scale has ten rows, so it is broadcast."""
+    """Add the meaning of each rating; the planner broadcasts a scale of ten rows."""
     for factor in FACTORS:
         column = factor.capitalize()
         named = scales.where(F.col("factor") == factor).select(
             F.col("score").alias(column), F.col("meaning").alias(f"{column}_Meaning")
         )
-        df = df.join(F.broadcast(named), column, "left")
+        df = df.join(named, column, "left")
     return df

@@ -17,7 +17,7 @@ def _lines(spark: SparkSession, path: str, what: str) -> DataFrame:
     try:
         return number_file_rows(spark.read.text(path), "row_id").where(F.trim("value") != "")
     except AnalysisException as exc:
-        raise IngestError(f"Could not read SECOM {what} file: {path}") from exc
+        raise IngestError(f"Could not read sensor {what} file: {path}") from exc
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +30,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     cells = _lines(spark, path, "data").select("row_id", F.split(F.trim("value"), r"\s+").alias("cells"))
     width = cells.agg(F.max(F.size("cells"))).first()[0]
     if not width:
-        raise IngestError("Could not read SECOM data file: no rows")
+        raise IngestError("Could not read sensor data file: no rows")
     padded = cells.select("row_id", F.posexplode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i", "pos"), "cells")
     number = F.try_element_at("cells", F.col("pos") + 1).try_cast("double")
     return padded.select(
@@ -57,9 +57,9 @@ def load_sensor_study(spark: SparkSession, data_path: str, labels_path: str) ->
     outside = F.count_if(F.col("label").isNull() | ~F.col("label").isin(fixed.UNIT_PASS, fixed.UNIT_FAIL))
     found = labels.agg(F.count(F.lit(1)).alias("n"), outside.alias("bad")).first()
     if rows != found["n"]:
-        raise IngestError(f"SECOM data/labels row-count mismatch: {rows} feature rows vs {found['n']} label rows.")
+        raise IngestError(f"Sensor data/labels row-count mismatch: {rows} feature rows vs {found['n']} label rows.")
     if found["bad"]:
-        raise IngestError(f"SECOM labels must be in {{-1, 1}}; found {found['bad']} out-of-domain value(s)")
+        raise IngestError(f"Sensor labels must be in {{-1, 1}}; found {found['bad']} out-of-domain value(s)")
     return matrix, labels
 
 
