@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +29,12 @@ from shopfloor.llm.components import components
 from shopfloor.llm.shingles import shingle_sets, signature
 from shopfloor.sources.staging import stage
 
-BATCH_CHARS = 6_000_000
-BUCKET_ENTRIES = 3_000_000
+BATCH_CHARS = 3_000_000
+BUCKET_ENTRIES = 1_500_000
 """Shingles counted together in one group; with the hot ones apart this bounds a task's memory."""
 HOT_SHARE = 0.002
 """Shingles in more than this share of all sets are hot: at most the mean set size / HOT_SHARE of them."""
-REPORTED = 16
+REPORTED = 4
 """Sets of one batch that must have a shingle for the batch to report it."""
 CLASSES = 16
 _HOT_RANK = 1 << 31
@@ -41,7 +42,7 @@ _HOT_RANK = 1 << 31
 
 def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts (second column) have at most BATCH_CHARS characters, or one row."""
-    sizes = [len(t) if t else 0 for t in batch.column(1).to_pylist()]
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
     at = held = 0
     for k, size in enumerate(sizes):
         if k > at and held + size > BATCH_CHARS:
@@ -119,7 +120,7 @@ def _unpacked(table: pa.Table, low: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     raw = join("hashes", np.uint8).reshape(-1, 6 if low else 8)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, : raw.shape[1]] = raw
-    return sigs, sizes, np.repeat(np.arange(len(counts)), counts), wide.view("<u8").ravel(), join("ranks", "<u4")
+    return sigs, sizes, np.repeat(np.arange(len(counts), dtype=np.int32), counts), wide.view("<u8").ravel(), join("ranks", "<u4")
 
 
 def _slot(values: np.ndarray, slots: int) -> np.ndarray:
@@ -179,10 +180,13 @@ def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarra
         _, first, same = np.unique(names, axis=0, return_index=True, return_inverse=True)
         again = first[same.ravel()][owner] != owner
         owner, hashes = owner[~again], hashes[~again]
-        _, token, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        ranks = counts[token]
-        shared = ranks > 1
-        owner, hashes, ranks = owner[shared], hashes[shared], ranks[shared]
+        order = np.argsort(hashes)
+        owner, hashes = owner[order], hashes[order]
+        first_of = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+        counts = np.diff(first_of, append=len(hashes))
+        shared = np.repeat(counts > 1, counts)
+        ranks = np.repeat(counts, counts)[shared]
+        owner, hashes = owner[shared], hashes[shared]
         # The bucket stands for the upper bits that were left out.
         hashes = hashes | (np.uint64(k % 65536) << np.uint64(48))
         # Every set goes on, if only to say that it has nothing here; sets without shared shingles need not.
