@@ -55,9 +55,9 @@ class SpeculativeBpe:
     The file must number its tokens in merge order (checked when loading).
     """
 
-    MOST_KEPT = 600_000
+    MOST_KEPT = 1_000_000
     LONGEST_KEPT = 48
-    """Bound of the per-worker cache of encoded chunks."""
+    """Bounds of the per-worker caches: entries, in a younger and an older half, and their length."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -86,8 +86,13 @@ class SpeculativeBpe:
         for (a, b, c), ok in zip(merges.tolist(), own.tolist()):
             reachable[c] = ok and reachable[a] and reachable[b]
         self.proposed = {t: i for t, i in self.ids.items() if reachable[i]}
-        self.longest = max(map(len, self.proposed))
+        # Length of the longest token that begins with these two letters.
+        self.reach: dict[str, int] = {}
+        for t in self.proposed:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+        self.known: dict[str, list[int]] = {}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Token that each pair merges to, or no limit where it does not."""
@@ -123,11 +128,12 @@ class SpeculativeBpe:
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over a word in byte letters."""
         found, at, n = [], 0, len(word)
+        ended = word + self.suffix
         while at < n:
-            end = n if n - at <= self.longest else 0
-            token = self.proposed.get(word[at:] + self.suffix) if end else None
+            token = self.proposed.get(ended[at:])
+            end = n
             if token is None:
-                for end in range(min(n - 1, at + self.longest), at, -1):
+                for end in range(min(n - 1, at + self.reach.get(word[at : at + 2], 1)), at, -1):
                     token = self.proposed.get(word[at:end])
                     if token is not None:
                         break
@@ -140,6 +146,14 @@ class SpeculativeBpe:
     def merge(self, word: str) -> list[int]:
         """Exact merging: the earliest merge, leftmost first, until none applies."""
         ids = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.suffix]]
+        if len(ids) <= 32:
+            while len(ids) > 1:
+                token, i = min((self.rank.get(p, self.n), i) for i, p in enumerate(zip(ids, ids[1:])))
+                if token == self.n:
+                    break
+                ids[i : i + 2] = [token]
+            return ids
+        # Long words: a heap of the pairs that merge, over a linked list.
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(self.rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
         heapq.heapify(heap)
@@ -186,10 +200,13 @@ class SpeculativeBpe:
         return parts
 
     def chunk_ids(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each chunk; every distinct word of them is encoded once."""
+        """Ids of each chunk; every distinct word is encoded once as long as it is remembered."""
         split = [self._split(c) for c in parts]
-        distinct = list(dict.fromkeys(w for ws in split for w in ws if isinstance(w, str)))
-        ids = dict(zip(distinct, self.words(distinct)))
+        if len(self.known) > self.MOST_KEPT:
+            self.known.clear()
+        new = list({w for ws in split for w in ws if isinstance(w, str)}.difference(self.known))
+        ids = self.known
+        ids.update(zip(new, self.words(new)))
         return [[t for w in ws for t in ([w] if isinstance(w, int) else ids[w])] for ws in split]
 
     def encode(self, text: str | None) -> list[int]:
@@ -202,14 +219,18 @@ class SpeculativeBpe:
 
     def _facts(self, part: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each chunk, through the cache."""
-        new = [c for c in dict.fromkeys(part) if c not in self.kept]
-        if len(self.kept) + len(new) > self.MOST_KEPT:
-            self.kept.clear()
-            new = list(dict.fromkeys(part))
+        facts = list(map(self.kept.get, part))
+        if None not in facts:
+            return facts
+        missing = [i for i, f in enumerate(facts) if f is None]
+        new = list({part[i] for i in missing}.difference(self.older))
         made = {c: (len(i), " ".join(map(str, i)), self.decode(i)) for c, i in zip(new, self.chunk_ids(new))}
-        found = [made[c] if c in made else self.kept[c] for c in part]
-        self.kept.update((c, f) for c, f in made.items() if len(c) <= self.LONGEST_KEPT)
-        return found
+        for i in missing:
+            facts[i] = made.get(part[i]) or self.older[part[i]]
+        self.kept.update((part[i], facts[i]) for i in missing if len(part[i]) <= self.LONGEST_KEPT)
+        if len(self.kept) > self.MOST_KEPT // 2:
+            self.older, self.kept = self.kept, {}
+        return facts
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text; a part of the text at a time."""
