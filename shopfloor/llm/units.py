@@ -67,8 +67,8 @@ def spelled(unit: str) -> str:
 class UnitEncoder:
     """Ids of texts by one tokenizer file, each distinct unit encoded by the library once per worker."""
 
-    MOST_KEPT = 1_500_000
-    MOST_CHARS = 24_000_000
+    MOST_KEPT = 600_000
+    MOST_CHARS = 10_000_000
     """Bounds of the cache: units kept and their total characters."""
 
     def __init__(self, path: str):
