@@ -15,6 +15,7 @@ Inputs of every size take the same way.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,15 +86,15 @@ def dense_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
 
 def chunked(
-    df: DataFrame, keys: Sequence[str], seq: str, lead_in: int = LONGEST_LEAD_IN
+    df: DataFrame, keys: Sequence[str], seq: str, lead_in: int = LONGEST_LEAD_IN, most: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Cut groups into bounded chunks, each led in by copies of the rows before it.
 
     Returns the frame with ``_chunk`` and ``_own`` (false on the copies) and the
     columns to partition windows by. ``lead_in`` is how many earlier rows the
-    longest frame looks back on.
+    longest frame looks back on; ``most`` rows make a chunk where the setting has more.
     """
-    size = _chunk_rows(df.sparkSession)
+    size = max(min(_chunk_rows(df.sparkSession), most or sys.maxsize), lead_in + 1)
     home = F.floor(F.col(seq) / size).cast("long")
     if lead_in == 0:
         return df.withColumn("_chunk", home).withColumn("_own", F.lit(True)), [*keys, "_chunk"]

@@ -17,7 +17,7 @@ from shopfloor.operators.sequence import dense_sequence
 from shopfloor.plans import pipelines, reports, views
 from shopfloor.sources import contracts, export, ingest, scales
 from shopfloor.sources.staging import stage, workspace
-from shopfloor.streaming.live import OUTPUT, live_monitor, live_snapshot
+from shopfloor.streaming.live import OUTPUT, live_snapshot, monitor_in_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -772,8 +772,8 @@ def live_monitor_xbar_r(spark: SparkSession, d: str) -> DataFrame:
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     rows = events.select(F.col("event_type").alias("stream"), F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
     out = f"{workspace(spark)}/live-{uuid4().hex}"
-    running = live_monitor(rows, 5).writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
-    running.trigger(availableNow=True).start(out).awaitTermination()
+    # The batches of the files that are there are as large as the table, so they are spread.
+    monitor_in_batches(rows, 5, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.schema(OUTPUT).parquet(out).groupBy("stream").agg(F.max_by(F.struct("*"), "subgroup").alias("last"))
     cols = [F.col("n_points").cast("long"), "center", "sigma_hat", "ucl", "lcl", F.col("violations").cast("long").alias("violation_events")]
     return rounded(last.select("last.*").select("stream", *cols))
