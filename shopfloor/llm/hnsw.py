@@ -30,6 +30,8 @@ AUDITED = 64
 RECALL = 0.98
 QUERIES = 4_096
 """Queries that go through a graph together."""
+PAIR_NUMBERS = 1 << 21
+"""Numbers of vectors held at a time, on either side, to verify pairs."""
 
 
 class Hnsw:
@@ -203,6 +205,58 @@ class Hnsw:
             todo, beam = np.concatenate(again), min(2 * beam, n)
 
 
+def linked(one: Hnsw, other: Hnsw | None, cosine: float) -> np.ndarray:
+    """True where a vector of one graph links with one of the other (None: with another of its own), asked in both directions.
+
+    The matrix is all that is kept, however many pairs there are: a byte for each pair of two shards.
+    """
+    to = one if other is None else other
+    links = np.zeros((len(one.vectors), len(to.vectors)), bool)
+    step = max(1, PAIR_NUMBERS // max(one.vectors.shape[1], 1))
+    for graph, asking, seen in [(to, one, links)] + ([] if other is None else [(one, to, links.T)]):
+        for q, v in graph.within(asking.vectors, cosine - 1e-9):
+            new = ~seen[q, v]
+            q, v = q[new], v[new]
+            for at in range(0, len(q), step):
+                i, j = q[at : at + step], v[at : at + step]
+                near = np.einsum("ij,ij->i", asking.vectors[i], graph.vectors[j]) >= cosine
+                seen[i[near], j[near]] = True
+    if other is None:
+        np.fill_diagonal(links, False)
+        links |= links.T.copy()
+    return links
+
+
+def weighed(links: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Per row the copies of the vectors it links with."""
+    parts = [links[at : at + 256].astype(np.float64) @ copies.astype(np.float64) for at in range(0, len(links), 256)]
+    return np.concatenate([np.zeros(0), *parts]).astype(np.int64)
+
+
+def stars_of(links: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Connected parts of rows and columns: the first row, and all rows and columns; each is looked at once."""
+    waiting, unseen = links.any(axis=1), np.ones(links.shape[1], bool)
+    for seed in np.flatnonzero(waiting).tolist():
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        rows, columns, now = [np.array([seed])], [], np.array([seed])
+        while len(now):
+            reached = np.zeros_like(unseen)
+            for at in range(0, len(now), 256):
+                reached |= links[now[at : at + 256]].any(axis=0)
+            reached = np.flatnonzero(reached & unseen)
+            unseen[reached] = False
+            columns.append(reached)
+            more = np.zeros_like(waiting)
+            for at in range(0, len(reached), 256):
+                more |= links[:, reached[at : at + 256]].any(axis=1)
+            now = np.flatnonzero(more & waiting)
+            waiting[now] = False
+            rows.append(now)
+        yield seed, np.concatenate(rows), np.concatenate(columns)
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_size: int = SHARD
 ) -> DataFrame:
@@ -234,28 +288,36 @@ def near_duplicates(
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         first = {c: table.column(c)[:1] for c in ("label", "size", "shard")}
-        return pa.table({**first, "reps": [rep[order].astype("<i8").tobytes()], "graph": [Hnsw(x).to_bytes()]})
+        copies = table.column("copies").to_numpy()[order].astype("<i8").tobytes()
+        return pa.table({**first, "reps": [rep[order].astype("<i8").tobytes()], "copies": [copies], "graph": [Hnsw(x).to_bytes()]})
 
     def link(table: pa.Table) -> pa.Table:
-        """One shard's vectors as queries to one shard's graph."""
-        a_ids, b_ids = (np.frombuffer(table.column(c)[0].as_py(), "<i8") for c in ("asking", "reps"))
-        graph, asking = Hnsw.from_bytes(table.column("graph")[0].as_py()), Hnsw.from_bytes(table.column("vectors")[0].as_py()).vectors
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, v in graph.within(asking, cosine - 1e-9):
-            keep = (np.einsum("ij,ij->i", asking[q], graph.vectors[v]) >= cosine) & (a_ids[q] != b_ids[v])
-            found_a.append(a_ids[q[keep]])
-            found_b.append(b_ids[v[keep]])
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        """Two shards, or one with itself: links of each vector, and edges that span what is linked."""
+        a_ids, b_ids, a_copies, b_copies = (np.frombuffer(table.column(c)[0].as_py(), "<i8") for c in ("asking", "reps", "a_copies", "copies"))
+        one, other = (Hnsw.from_bytes(table.column(c)[0].as_py()) for c in ("vectors", "graph"))
+        same = table.column("shard")[0].as_py() == table.column("block")[0].as_py()
+        links = linked(one, None if same else other, cosine)
+        vertices, sums = [a_ids], [weighed(links, b_copies)]
+        if not same:
+            vertices, sums = [a_ids, b_ids], [*sums, weighed(links.T, a_copies)]
+        vertices, sums = np.concatenate(vertices), np.concatenate(sums)
+        stars = [(a_ids[seed], np.concatenate([a_ids[rows], b_ids[columns]])) for seed, rows, columns in stars_of(links)]
+        stars = [(np.full(len(members), seed), members) for seed, members in stars]
+        seeds, members = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*stars) if stars else ((), ())))
+        apart, met_ = seeds != members, sums > 0
+        a = np.concatenate([vertices[met_], seeds[apart]])
+        b = pa.array(np.concatenate([vertices[met_], members[apart]]), mask=np.arange(len(a)) < met_.sum())
+        return pa.table({"a": a, "b": b, "others": np.concatenate([sums[met_], np.zeros(apart.sum(), np.int64)])})
 
     kind = vectors.schema[label].dataType.simpleString()
-    built = homes.select("label", "size", "shard", "rep", "v").groupBy("label", "size", "shard")
-    graphs = stage(built.applyInArrow(build, f"label {kind}, size int, shard int, reps binary, graph binary"), "graphs")
-    queries = graphs.select("label", "size", F.col("shard").alias("block"), F.col("reps").alias("asking"), F.col("graph").alias("vectors"))
-    met = queries.join(graphs, ["label", "size"])
-    found = met.groupBy("label", "size", "shard", "block").applyInArrow(link, "a long, b long")
-    pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "vector-pairs")
-    weight = homes.select(F.col("rep").alias("b"), "copies")
-    both = pairs.union(pairs.select("b", "a")).join(weight, "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    built = homes.select("label", "size", "shard", "rep", "v", "copies").groupBy("label", "size", "shard")
+    graphs = stage(built.applyInArrow(build, f"label {kind}, size int, shard int, reps binary, copies binary, graph binary"), "graphs")
+    asking = [F.col(c).alias(name) for c, name in (("shard", "block"), ("reps", "asking"), ("copies", "a_copies"), ("graph", "vectors"))]
+    # Each pair of shards meets once, in both directions.
+    met = graphs.select("label", "size", *asking).join(graphs, ["label", "size"]).where("block <= shard")
+    found = stage(met.groupBy("label", "size", "shard", "block").applyInArrow(link, "a long, b long, others long"), "vector-links")
+    both = found.where("b is null").groupBy("a").agg(F.sum("others").alias("others"))
+    pairs = found.where("b is not null").select("a", "b")
     roots = components(pairs)
     named = homes.select("label", "same", "v", "rep", "copies").join(both.withColumnRenamed("a", "rep"), "rep", "left")
     named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
