@@ -3,7 +3,8 @@
 Vectors with equal labels are cut into shards of bounded size, each with a graph
 of its own; every vector is a query to every shard of its label. A shard audits
 itself: the answers to some queries are compared with brute force over the
-shard, and the beam widens until the recall is high enough. Found pairs are
+shard, and the beam widens until enough true pairs, or where these are few
+enough nearest neighbours, are found. Found pairs are
 verified by their cosine in double precision.
 """
 
@@ -28,6 +29,9 @@ BEAM = 32
 AUDITED = 64
 """Queries per shard and batch that brute force answers too."""
 RECALL = 0.98
+EVIDENCE = 256
+"""True pairs that an audit must see; with fewer, the nearest vertices are asked for too."""
+NEAREST = 4
 QUERIES = 4_096
 """Queries that go through a graph together."""
 PAIR_NUMBERS = 1 << 21
@@ -43,6 +47,7 @@ class Hnsw:
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 0):
         self.vectors = vectors
+        self.width = 0
         n = len(vectors)
         rng = np.random.default_rng(seed)
         self.levels = np.minimum((-np.log(1 - rng.random(n)) / np.log(16)).astype(np.int64), 6)
@@ -60,7 +65,7 @@ class Hnsw:
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         links = {f"links{k}": table.astype(np.int32) for k, table in enumerate(self.links)}
-        np.savez(out, vectors=self.vectors, levels=self.levels.astype(np.int8), entry=np.array([self.entry]), **links)
+        np.savez(out, vectors=self.vectors, levels=self.levels.astype(np.int8), entry=np.array([self.entry]), width=np.array([self.width]), **links)
         return out.getvalue()
 
     @classmethod
@@ -68,7 +73,8 @@ class Hnsw:
         graph = cls.__new__(cls)
         with np.load(io.BytesIO(data)) as parts:
             graph.vectors, graph.levels, graph.entry = parts["vectors"], parts["levels"].astype(np.int64), int(parts["entry"][0])
-            graph.links = [parts[f"links{k}"].astype(np.int64) for k in range(len(parts.files) - 3)]
+            graph.width = int(parts["width"][0])
+            graph.links = [parts[f"links{k}"].astype(np.int64) for k in range(len(parts.files) - 4)]
         return graph
 
     def _near(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -161,28 +167,51 @@ class Hnsw:
         """The beam of each query at level 0: ids (-1 where none) and cosines."""
         return self._search(queries, self._descend(queries, 0), 0, beam)
 
-    def within(self, queries: np.ndarray, cosine: float, beam: int = BEAM, audited: int = AUDITED, recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(
+        self, queries: np.ndarray, cosine: float, beam: int = BEAM, audited: int = AUDITED, recall: float = RECALL, own: bool = False
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, vertex) of at least that cosine, a part of the queries at a time.
 
         A beam that is full of hits was too narrow, so it doubles for that query
-        till it is not. Besides, audited queries are answered by brute force, and
-        the beam of all widens until the recall on them is reached; a beam as wide
-        as the shard is brute force itself.
+        till it is not. Besides, each part is audited from the widest beam found
+        so far; ``own`` says that the queries are the graph's vectors themselves.
         """
-        n = len(self.vectors)
+        width = max(beam, self.width)
         for at in range(0, len(queries), QUERIES):
             part = queries[at : at + QUERIES]
-            sample = np.arange(0, len(part), max(1, len(part) // audited))
-            truth = (part[sample] @ self.vectors.T >= cosine).sum()
-            width = min(beam, n)
-            while width < n and truth:
-                hits = sum(len(q) for q, _ in self._hits(part[sample], cosine, width))
-                if hits >= recall * truth:
-                    break
-                width = min(2 * width, n)
+            width = self.audit(part, cosine, width, audited, recall, at if own else None)
             for q, v in self._hits(part, cosine, width):
                 yield q + at, v
 
+    def audit(self, part: np.ndarray, cosine: float, beam: int, audited: int = AUDITED, recall: float = RECALL, own_at: int | None = None) -> int:
+        """The beam, doubled until it reaches the recall on some queries that brute force answers too.
+
+        A query's match with itself is no evidence. Where the sample has few true
+        pairs, its NEAREST vertices have to be found as well. A beam as wide as the
+        shard is brute force itself.
+        """
+        n = len(self.vectors)
+        width = min(beam, n)
+        sample = np.arange(0, len(part), max(1, len(part) // audited))
+        itself = np.full(len(sample), -1) if own_at is None else sample + own_at
+        true = part[sample] @ self.vectors.T
+        if own_at is not None:
+            true[np.arange(len(sample)), itself] = -2.0
+        truth = int((true >= cosine).sum())
+        k = min(NEAREST, n - (own_at is not None))
+        nearest = np.partition(true, n - k, axis=1)[:, n - k] if k > 0 else None
+        while width < n:
+            hits = sum(int((v != itself[q]).sum()) for q, v in self._hits(part[sample], cosine, width))
+            enough = hits >= recall * truth
+            if enough and truth < EVIDENCE and nearest is not None:
+                ids, near = self.search(part[sample], max(width, k + 1))
+                met = (near >= nearest[:, None] - 1e-12) & (ids >= 0) & (ids != itself[:, None])
+                enough = np.minimum(met.sum(axis=1), k).sum() >= recall * k * len(sample)
+            if enough:
+                break
+            width = min(2 * width, n)
+        return width
+
     def _hits(self, queries: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, todo = len(self.vectors), np.arange(len(queries))
         while len(todo):
@@ -214,7 +243,7 @@ def linked(one: Hnsw, other: Hnsw | None, cosine: float) -> np.ndarray:
     links = np.zeros((len(one.vectors), len(to.vectors)), bool)
     step = max(1, PAIR_NUMBERS // max(one.vectors.shape[1], 1))
     for graph, asking, seen in [(to, one, links)] + ([] if other is None else [(one, to, links.T)]):
-        for q, v in graph.within(asking.vectors, cosine - 1e-9):
+        for q, v in graph.within(asking.vectors, cosine - 1e-9, own=other is None):
             new = ~seen[q, v]
             q, v = q[new], v[new]
             for at in range(0, len(q), step):
@@ -289,7 +318,10 @@ def near_duplicates(
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         first = {c: table.column(c)[:1] for c in ("label", "size", "shard")}
         copies = table.column("copies").to_numpy()[order].astype("<i8").tobytes()
-        return pa.table({**first, "reps": [rep[order].astype("<i8").tobytes()], "copies": [copies], "graph": [Hnsw(x).to_bytes()]})
+        graph = Hnsw(x)
+        # Every block that asks this graph starts from the beam its own vectors need.
+        graph.width = graph.audit(x[:QUERIES], cosine - 1e-9, BEAM, own_at=0)
+        return pa.table({**first, "reps": [rep[order].astype("<i8").tobytes()], "copies": [copies], "graph": [graph.to_bytes()]})
 
     def link(table: pa.Table) -> pa.Table:
         """Two shards, or one with itself: links of each vector, and edges that span what is linked."""

@@ -47,3 +47,35 @@ def test_stars_span_what_is_linked(same):
             part |= {("a", i): k for i in rows.tolist()} | {("b", j): k for j in columns.tolist()}
         assert set(part) == {("a", i) for i in np.flatnonzero(links.any(axis=1)).tolist()} | {("b", j) for j in np.flatnonzero(links.any(axis=0)).tolist()}
         assert all(part["a", i] == part["b", j] for i, j in np.argwhere(links).tolist())
+
+
+def test_rare_pairs_of_another_shard_are_audited():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2_000, 24))
+    asking = rng.standard_normal((640, 24))
+    # None of the audited queries, every tenth, has a partner.
+    asking[5::10] = x[:64] + 0.02 * rng.standard_normal((64, 24))
+    x, asking = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, asking))
+    graph = hnsw.Hnsw(x, degree=2, beam=4)
+    truth = int((asking @ x.T >= 0.93).sum())
+    assert truth >= 64 and not (asking[::10] @ x.T >= 0.93).any()
+    assert sum(len(q) for q, _ in graph.within(asking, 0.93, beam=2)) >= 0.98 * truth
+
+
+class FindsItself(hnsw.Hnsw):
+    """A graph whose beams hold nothing but the nearest vertex."""
+
+    def search(self, queries, beam):
+        near = queries @ self.vectors.T
+        ids = np.full((len(queries), beam), -1)
+        ids[:, 0] = near.argmax(axis=1)
+        return ids, np.where(ids >= 0, near.max(axis=1)[:, None], -2.0)
+
+
+def test_matches_of_vectors_with_themselves_are_no_evidence():
+    x = np.random.default_rng(6).standard_normal((640, 24))
+    x[5] = x[0] + 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # 64 audited vectors find themselves, and one of them misses its partner.
+    links = hnsw.linked(FindsItself(x), None, 0.93)
+    assert np.argwhere(links).tolist() == [[0, 5], [5, 0]]
