@@ -63,9 +63,8 @@ def capability(
     """
     keys = list(keys)
     within = sigma.select(*keys, "sigma_hat", F.col("status").alias("_chart"))
-    joined = overall_statistics(df, keys, value).join(within, keys, "left").join(
-        limits.select(*keys, "lsl", "usl"), keys, "left"
-    )
+    joined = join_on(overall_statistics(df, keys, value), within, keys, "left")
+    joined = join_on(joined, limits.select(*keys, "lsl", "usl"), keys, "left")
     lsl, usl, mean = F.col("lsl"), F.col("usl"), F.col("mean")
     status = F.when(F.col("n") < 2, "too_few_points").when(F.col("_chart") != "ok", F.col("_chart"))
     status = status.when(F.coalesce(F.col("sigma_hat"), F.lit(0.0)) <= 0, "zero_sigma")
@@ -101,7 +100,7 @@ def gated_capability(
     keys = chart.keys
     measured = capability(df, keys, chart.limits, limits, value=value, need_limits=need_limits)
     events = violation_summary(chart).select(*keys, F.col("violation_events").alias("signals"))
-    gated = measured.join(events, keys, "left").withColumn("signals", F.coalesce("signals", F.lit(0)).cast("long"))
+    gated = join_on(measured, events, keys, "left").withColumn("signals", F.coalesce("signals", F.lit(0)).cast("long"))
     return gated.select(
         "*",
         (F.col("signals") == 0).alias("stable"),
