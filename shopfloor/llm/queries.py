@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm import bpe, hnsw, langid, ngram_join, packing, pii, quality, rules, tokenfile, warc
+from shopfloor.llm import bpe, byte_bpe, fim, hnsw, langid, ngram_join, packing, pii, quality, rules, tokenfile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -96,3 +96,65 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.col("rejected_by").isNull().alias("kept"),
     )
+
+
+@query
+def op11_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"), plain_percent=10, spm_percent=20)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op12_fill_in_middle"] = """
+with hashed as (
+    select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n,
+           sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents
+), drawn as (
+    select doc_id, t, n,
+           cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as a, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as b,
+           cast('0x' || substr(h, 17, 8) as bigint) % 100 as keep, cast('0x' || substr(h, 25, 8) as bigint) % 100 as swap
+    from hashed
+), formed as (
+    select *, least(a, b) as lo, greatest(a, b) as hi,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or keep >= 90 then 'plain'
+                when swap < 20 then 'spm' else 'psm' end as form
+    from drawn
+), cut as (
+    select *, substr(t, 1, lo) as p, substr(t, lo + 1, hi - lo) as m, substr(t, hi + 1) as s from formed
+), made as (
+    select *, case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end as output
+    from cut
+)
+select doc_id, n, form,
+       case when form <> 'plain' then lo end as prefix_chars,
+       case when form <> 'plain' then hi - lo end as middle_chars,
+       sha256(output) as output_sha256,
+       sha256(case form
+           when 'plain' then output
+           when 'psm' then substr(output, 4, strpos(output, '<S>') - 4) || substr(output, strpos(output, '<M>') + 3)
+               || substr(output, strpos(output, '<S>') + 3, strpos(output, '<M>') - strpos(output, '<S>') - 3)
+           else substr(output, strpos(output, '<P>') + 3, strpos(output, '<M>') - strpos(output, '<P>') - 3)
+               || substr(output, strpos(output, '<M>') + 3) || substr(output, 4, strpos(output, '<P>') - 4) end) as restored_sha256
+from made
+"""

@@ -64,25 +64,24 @@ def spelled(unit: str) -> str:
     return unit[1:] if unit[0] == "\0" else unit if unit[0] == "\n" else " " + unit
 
 
-class UnitEncoder:
-    """Ids of texts by one tokenizer file, each distinct unit encoded by the library once per worker."""
+class UnitCache:
+    """Ids of texts through the ids of their units; each distinct unit is encoded once per worker while it is kept.
 
-    MOST_KEPT = 600_000
-    MOST_CHARS = 10_000_000
-    """Bounds of the cache: units kept and their total characters."""
+    A subclass says how new units are encoded. ``most_kept`` and ``most_chars``
+    bound the cache: units and their total characters.
+    """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-        from tokenizers import Tokenizer
+    BATCH_UNITS = 200_000
+    """Units looked up at a time."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.border = special[0].content
-        self.border_id = self.tokenizer.token_to_id(self.border)
+    def __init__(self, most_kept: int = 600_000, most_chars: int = 10_000_000):
+        self.most_kept, self.most_chars = most_kept, most_chars
         self._keep({}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of units not seen before, and each unit's number of ids."""
+        raise NotImplementedError
+
     def _keep(self, slot: dict[str, int], starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> None:
         self.slot, self.starts, self.sizes, self.pool = slot, starts, sizes, pool
         self.uses = np.zeros(len(sizes), np.int64)
@@ -92,49 +91,29 @@ class UnitEncoder:
         """Forget the units used once only; all of them where that frees less than half."""
         units = np.array(list(self.slot), dtype=object)
         kept = np.flatnonzero(self.uses > 1)
-        if 2 * len(kept) > self.MOST_KEPT or 2 * sum(map(len, units[kept])) > self.MOST_CHARS:
+        if 2 * len(kept) > self.most_kept or 2 * sum(map(len, units[kept])) > self.most_chars:
             kept = kept[:0]
         sizes = self.sizes[kept]
         starts = np.cumsum(sizes) - sizes
-        pool = self.pool[_ragged(self.starts[kept], sizes)]
+        pool = self.pool[ragged(self.starts[kept], sizes)]
         self._keep(dict(zip(units[kept].tolist(), range(len(kept)))), starts, sizes, pool)
 
-    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids and numbers of ids. Many units go through the library in one text, with a special token
-        between them: special tokens are cut out first, so each unit is encoded as if alone."""
-        ids, sizes = [], []
-        for at in range(0, len(texts), 100):
-            part = texts[at : at + 100]
-            flat = np.array(self.tokenizer.encode(self.border.join(part), add_special_tokens=False).ids, np.uint32)
-            borders = np.flatnonzero(flat == self.border_id)
-            if len(borders) != len(part) - 1:
-                raise ValueError("the tokenizer did not keep the borders between units")
-            sizes.append(np.diff(borders, prepend=-1, append=len(flat)) - 1)
-            ids.append(np.delete(flat, borders))
-        return ids, sizes
-
     def _learn(self, new: list[str]) -> None:
-        plain = [u for u in new if self.border not in u]
-        ids, sizes = self._encoded([spelled(u) for u in plain])
-        if len(plain) < len(new):
-            odd = [u for u in new if self.border in u]
-            ids += [np.array(self.tokenizer.encode(spelled(u), add_special_tokens=False).ids, np.uint32) for u in odd]
-            sizes.append(np.array([len(i) for i in ids[-len(odd) :]]))
-            plain += odd
-        sizes = np.concatenate(sizes).astype(np.int64)
-        self.slot.update(zip(plain, range(len(self.sizes), len(self.sizes) + len(plain))))
+        ids, sizes = self.fresh(new)
+        sizes = sizes.astype(np.int64)
+        self.slot.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, ids])
         self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
-        self.chars += sum(map(len, plain))
+        self.chars += sum(map(len, new))
 
     def _gather(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the units, and where each unit's end; unknown units are learned first."""
         slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(slots < 0).tolist()
         new = list({units[i] for i in missing})
-        if len(self.slot) + len(new) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
+        if len(self.slot) + len(new) > self.most_kept or self.chars > self.most_chars:
             self._trim()
             slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
             missing = np.flatnonzero(slots < 0).tolist()
@@ -144,7 +123,7 @@ class UnitEncoder:
             slots[missing] = [self.slot[units[i]] for i in missing]
         self.uses += np.bincount(slots, minlength=len(self.uses))
         sizes = self.sizes[slots]
-        return self.pool[_ragged(self.starts[slots], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        return self.pool[ragged(self.starts[slots], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (null: none), equal to the library's on the whole text."""
@@ -165,24 +144,61 @@ class UnitEncoder:
             for units in slices(text or ""):
                 held += units
                 owners.append((k, len(units)))
-                if len(held) >= 200_000:
+                if len(held) >= self.BATCH_UNITS:
                     flush()
         flush()
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-_encoders: dict[str, UnitEncoder] = {}
+class UnitEncoder(UnitCache):
+    """Ids of texts by one tokenizer file of the tokenizers library."""
+
+    def __init__(self, path: str, most_kept: int = 600_000, most_chars: int = 10_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
+        from tokenizers import Tokenizer
+
+        super().__init__(most_kept, most_chars)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.border = special[0].content
+        self.border_id = self.tokenizer.token_to_id(self.border)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many units go through the library in one text, with a special token between them: special tokens
+        are cut out first, so each unit is encoded as if alone."""
+        ids, sizes = [], []
+        for at in range(0, len(units), 100):
+            part = [spelled(u) for u in units[at : at + 100]]
+            if any(self.border in u for u in part):
+                ids += map(self._ids, part)
+                sizes.append([len(i) for i in ids[-len(part) :]])
+                continue
+            flat = self._ids(self.border.join(part))
+            borders = np.flatnonzero(flat == self.border_id)
+            if len(borders) != len(part) - 1:
+                raise ValueError("the tokenizer did not keep the borders between units")
+            sizes.append(np.diff(borders, prepend=-1, append=len(flat)) - 1)
+            ids.append(np.delete(flat, borders))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+
+_encoders: dict[tuple[str, int], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+def encoder(path: str, most_kept: int = 600_000) -> UnitEncoder:
+    """This worker's encoder for a tokenizer file, remembering at most so many units."""
+    if (path, most_kept) not in _encoders:
+        _encoders[path, most_kept] = UnitEncoder(path, most_kept, 17 * most_kept)
+    return _encoders[path, most_kept]

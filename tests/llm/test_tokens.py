@@ -36,7 +36,7 @@ def test_units_give_the_ids_of_the_whole_text(path):
 
 def test_a_full_cache_changes_nothing():
     library, own = Tokenizer.from_file(BYTES), UnitEncoder(BYTES)
-    own.MOST_KEPT = 20
+    own.most_kept = 20
     for text in noise(300, seed=2):
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
