@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm import bpe, byte_bpe, fim, hnsw, langid, ngram_join, packing, pii, quality, rules, tokenfile, warc
+from shopfloor.llm import bpe, byte_bpe, fim, hnsw, langid, ngram_join, packing, pii, prefix_trie, quality, rules, tokenfile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -158,3 +158,62 @@ select doc_id, n, form,
                || substr(output, strpos(output, '<M>') + 3) || substr(output, 4, strpos(output, '<P>') - 4) end) as restored_sha256
 from made
 """
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), lead=(100, 6))
+
+
+# crc32 by its definition: DuckDB has no function of that name.
+SQL["op13_conversation_prefix_trie"] = """
+with recursive bytes_of as (
+    select distinct conv_id, cast(conv_id as varchar) as d from conversations where conv_id is not null
+), crc as (
+    select conv_id, d, 0 as i, 4294967295::bigint as c from bytes_of
+    union all
+    select conv_id, d, i + 1, xor(c // 256, list_reduce(list_prepend(xor(c, ord(d[i + 1])) % 256, range(8)),
+        lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end))
+    from crc where i < length(d)
+), heads as (
+    select conv_id, cast(xor(c, 4294967295::bigint) % 6 as bigint) as h, conv_id - conv_id % 100 as donor from crc where i = length(d)
+), original as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as nth
+    from conversations where conv_id is not null
+), joined as (
+    select h.conv_id, 0 as part, o.nth, o.role, o.text from heads h join original o on o.conv_id = h.donor and o.nth <= h.h
+    union all
+    select h.conv_id, 1, o.nth, o.role, o.text from heads h join original o on o.conv_id = h.conv_id and o.nth > h.h
+), whole as (
+    select conv_id, list({'r': role, 't': text} order by part, nth) as turns from joined group by conv_id
+), members as (
+    select h.conv_id, coalesce(w.turns, []) as turns, coalesce(len(w.turns), 0) as n from heads h left join whole w on w.conv_id = h.conv_id
+), prefixes as (
+    select conv_id, n, unnest(range(0, n + 1)) as depth, turns from members
+), keyed as (
+    select conv_id, n, depth, md5(cast(to_json(turns[1:depth]) as varchar)) as node,
+           case when depth > 0 then md5(cast(to_json(turns[1:depth - 1]) as varchar)) end as above,
+           case when depth > 0 then length(turns[depth].t) else 0 end as chars
+    from prefixes
+), nodes as (
+    select depth, node, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars,
+           coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = depth), '') as ends
+    from keyed group by depth, node
+), children as (
+    select depth - 1 as depth, above as node, count(*) as n_children from nodes where depth > 0 group by 1, 2
+), below as (
+    select distinct a.depth, a.node, b.depth as low_depth, b.node as low from keyed a join keyed b on a.conv_id = b.conv_id and b.depth >= a.depth
+), subtrees as (
+    select b.depth, b.node, count(*) filter (where c.node is null) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved_tokens
+    from below b join nodes n on n.depth = b.low_depth and n.node = b.low
+         left join children c on c.depth = b.low_depth and c.node = b.low
+    group by 1, 2
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, s.n_leaves,
+       cast(s.saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n
+    left join nodes p on p.depth = n.depth - 1 and p.node = n.above
+    left join children c on c.depth = n.depth and c.node = n.node
+    join subtrees s on s.depth = n.depth and s.node = n.node
+"""
