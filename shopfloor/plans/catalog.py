@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from shopfloor.operators.feedback import occurrence_feedback
 from shopfloor.operators.normality import shapiro_wilk
 from shopfloor.operators.sequence import dense_sequence
 from shopfloor.plans import pipelines, reports, views
-from shopfloor.sources import contracts, export, ingest, scales
+from shopfloor.sources import contracts, export, ingest, scales, sensors
 from shopfloor.sources.staging import stage, workspace
 from shopfloor.streaming.live import OUTPUT, live_snapshot, monitor_in_batches
 
@@ -605,6 +606,17 @@ def gage_checks(spark: SparkSession, d: str) -> DataFrame:
     return gage.gage_rr(lines).select(*cols)
 
 
+@query
+def gage_applicable(spark: SparkSession, d: str) -> DataFrame:
+    """Which tables carry the columns of a gage study: readings, order lines and events."""
+    tables = [("readings", views.gage(spark, d)), ("order lines", views.table(spark, d, "lineitem")), ("events", views.table(spark, d, "events"))]
+    found = [
+        gage.gage_applicability(frame).select(F.lit(name).alias("source"), "*").withColumn("n_rows", frame.agg(F.count(F.lit(1))).scalar())
+        for name, frame in tables
+    ]
+    return rounded(reduce(DataFrame.unionByName, found))
+
+
 @query
 def gage_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.gage_report(gage.gage_rr(views.gage(spark, d), tolerance=60.0), lsl=0.0, usl=60.0)
@@ -710,6 +722,47 @@ def signals_pareto(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sensor_study(spark, d).pareto)
 
 
+def sensor_files(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Orders as a sensor matrix, a line an order, and their labels, written as two sets of part files cut differently."""
+    reading = F.struct(F.col("l_linenumber").cast("int").alias("n"), F.col("l_extendedprice").cast("double").alias("v"))
+    lines = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(
+        F.max("l_extendedprice").alias("l_extendedprice")
+    )
+    cells = lines.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(reading)).alias("_by"))  # seven lines at most
+    units = views.table(spark, d, "orders").join(cells, "o_orderkey", "left").select(
+        "o_orderkey",
+        F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.col("_by")[n]).alias("cells"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("label"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+    )
+    path = f"{workspace(spark)}/sensors-{uuid4().hex}"
+    sensors.write_matrix(units, f"{path}.data", "o_orderkey", files=24)
+    sensors.write_labels(units.drop("cells"), f"{path}.labels", "o_orderkey", files=7)
+    return f"{path}.data", f"{path}.labels"
+
+
+def _stamped(df: DataFrame) -> DataFrame:
+    return df.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def sensor_matrix_file(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix read back from its part files, a row per reading."""
+    return sensors.read_matrix(spark, sensor_files(spark, d)[0])
+
+
+@query
+def sensor_labels_file(spark: SparkSession, d: str) -> DataFrame:
+    """The labels read back from their part files."""
+    return _stamped(sensors.read_labels(spark, sensor_files(spark, d)[1]))
+
+
+@query
+def sensor_labelled_files(spark: SparkSession, d: str) -> DataFrame:
+    """Matrix and labels joined row for row."""
+    return _stamped(sensors.read_labelled(spark, *sensor_files(spark, d)))
+
+
 # Loop
 
 

@@ -74,6 +74,17 @@ from (select o_orderkey as row_id, case when o_orderstatus = 'F' then 1 else -1
 cross join (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) as s(n)
 left join (select l_orderkey as k, cast(l_linenumber as int) as n, max(l_extendedprice) as v
            from lineitem group by l_orderkey, l_linenumber) w on w.k = g.row_id and w.n = s.n"""
+SENSOR_FILES = {
+    "units": """
+select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) as row_id,
+       case when o_orderstatus = 'F' then 1 else -1 end as label, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as timestamp
+from orders""",
+    "cells": """
+select u.row_id, concat('sensor_00', cast(s.n - 1 as varchar)) as signal, w.v as value
+from units u cross join (values (1),(2),(3),(4),(5),(6),(7)) as s(n)
+left join (select l_orderkey as k, l_linenumber as n, max(l_extendedprice) as v from lineitem group by 1, 2) w
+    on w.k = u.o_orderkey and w.n = s.n""",
+}
 AP_BANDS = "select * from (values " + _values(
     [
         (*row[:4], low, high, priority)
@@ -1187,6 +1198,15 @@ select study_id, count(distinct part) as n_parts, count(distinct appraiser) as n
             **gage_ctes(),
         ),
         "gage_study_export": with_("select study_id, part, appraiser, trial, round(measurement, 6) as measurement from g", g=GAGE),
+        "gage_applicable": """
+select source, missing = '' as applicable, missing as missing_dimensions, n_rows,
+       concat('A gage study needs every appraiser to measure every part at least twice. ',
+              case when missing = '' then 'The columns for that are there.'
+                   else concat('Columns not found: ', replace(missing, '; ', ', '), '.') end) as reason
+from (select 'readings' as source, '' as missing, (select count(*) from (select 1 from lineitem group by
+          l_returnflag, l_linestatus, floor(l_orderkey / 2000.0), l_partkey % 10, l_suppkey % 3, l_linenumber % 3)) as n_rows
+      union all select 'order lines', 'part; appraiser; trial', (select count(*) from lineitem)
+      union all select 'events', 'part; appraiser; trial', (select count(*) from events))""",
         "gage_tolerance_problem": """
 select part_id, lsl, usl, case when usl <= lsl then 'USL must be greater than LSL — tolerance ignored until corrected.' end as problem
 from (select p_partkey as part_id, case when p_partkey % 5 <> 0 then cast(p_size as double) end as lsl,
@@ -1292,6 +1312,11 @@ round(count_if(label = 1) / cast(count(*) as double) * 1000000, 6) as dppm, 'ok'
                     ('sensor_001', 1000.0, 90000.0), ('sensor_002', null, 95000.0), ('sensor_003', 2000.0, null),
                     ('sensor_004', null, null), ('sensor_005', 9.0, 1.0)) as t(signal, lsl, usl)""",
         ),
+        "sensor_matrix_file": with_("select row_id, signal, value from cells", **SENSOR_FILES),
+        "sensor_labels_file": with_("select row_id, label, timestamp from units", **SENSOR_FILES),
+        "sensor_labelled_files": with_(
+            "select c.row_id, signal, value, label, timestamp from cells c join units u on c.row_id = u.row_id", **SENSOR_FILES
+        ),
         "yield_summary": with_(f"select {yields} from labelled", labelled=labels),
         "yield_by_priority": with_(f"select priority, {yields} from labelled group by priority", labelled=labels),
         "signals_pareto": with_(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopfloor.operators.sequence import join_groups
@@ -33,26 +33,54 @@ MISSING_TOKENS = [
 ]
 
 
-def number_file_rows(df: DataFrame, out: str, first: int = 0) -> DataFrame:
-    """Number the rows of a file scan in file order, per file, without sorting.
-
-    Rows keep their order inside a file split, so a row's number is its place in
-    the split plus the rows of the file's earlier splits. Only the split counts
-    (one row per split) are shuffled.
-    """
+def _split_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a file scan with their place in the scan, and one row per file split with its row count."""
     placed = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_head"))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return placed, placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_head"))
+
+
+def _numbered(df: DataFrame, placed: DataFrame, splits: DataFrame, order: Window, out: str, first: int) -> DataFrame:
+    """Rows numbered by their place in the split plus the rows of earlier splits in ``order``."""
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_block", "_head", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     number = F.col("_place") - F.col("_head") + F.col("_before") + first
     return join_groups(placed, splits, ["_file", "_block"]).select(*df.columns, number.alias(out))
 
 
+def number_file_rows(df: DataFrame, out: str, first: int = 0) -> DataFrame:
+    """Number the rows of a file scan in file order, per file, without sorting.
+
+    Rows keep their order inside a file split, so a row's number is its place in
+    the split plus the rows of the file's earlier splits. Only the split counts
+    (one row per split) are shuffled.
+    """
+    placed, splits = _split_counts(df)
+    return _numbered(df, placed, splits, Window.partitionBy("_file").orderBy("_block"), out, first)
+
+
+def natural_order(name: Column) -> Column:
+    """A sort key that puts part-2 before part-10: runs of digits compare as numbers."""
+    pieces = F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
+    longest = 24
+    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\d") & (F.length(p) < longest), F.lpad(p, longest, "0")).otherwise(p))
+
+
+def number_file_set(df: DataFrame, out: str, first: int = 0) -> DataFrame:
+    """Number the rows of a scan over an ordered set of files: by file name, then place in the file.
+
+    The files of a folder written in order read as one long file. As with one file
+    nothing is sorted: the running total goes over one row per file split, and only
+    that small table is brought together.
+    """
+    placed, splits = _split_counts(df)
+    return _numbered(df, placed, splits, Window.orderBy(natural_order(F.col("_file")), "_block"), out, first)
+
+
 def read_table(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
     """A ``.csv`` (or parquet) table as text cells plus ``_row_no``.
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,43 @@ def test_sensor_files(spark, tmp_path):
         sensors.load_sensor_study(spark, data, csv(tmp_path, "b.data", '-1 "a"', '0 "b"', '1 "c"'))
 
 
+def test_an_ordered_set_of_files_reads_as_one(spark, tmp_path):
+    """Part 2 comes before part 10, blank lines and empty files do not count, and splits may cut anywhere."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    rng = random.Random(3)
+    expected = []
+    for part in range(12):
+        lines = []
+        for _ in range(rng.randrange(0, 60) if part != 4 else 0):
+            expected.append(f"{len(expected)}.5 {part}")
+            lines += [expected[-1], ""] if rng.random() < 0.2 else [expected[-1]]
+        (folder / f"part-{part}.txt").write_text("\n".join(lines) + "\n" * bool(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        raw = spark.read.text(str(folder)).where(F.trim("value") != "")
+        found = [r.value for r in ingest.number_file_set(raw, "n").orderBy("n").collect()]
+        numbers = sorted(r.n for r in ingest.number_file_set(raw, "n").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == expected and numbers == list(range(len(expected)))
+
+
+def test_matrix_and_labels_cut_into_different_files(spark, tmp_path):
+    rng = random.Random(5)
+    units = [(k, [rng.choice([None, float(k), k / 7]) for _ in range(3)], rng.choice([-1, 1]), f"2024-02-{1 + k % 28:02} 10:00:00") for k in range(300)]
+    frame = spark.createDataFrame(units, "k long, cells array<double>, label int, t string").withColumn("timestamp", F.to_timestamp("t"))
+    data, label = str(tmp_path / "x.data"), str(tmp_path / "x.labels")
+    sensors.write_matrix(frame.repartition(5), data, "k", files=11)
+    sensors.write_labels(frame.repartition(3), label, "k", files=4)
+    assert len(list((tmp_path / "x.data").glob("part-*"))) > 5
+    found = {(r.row_id, r.signal): (r.value, r.label, str(r.timestamp)) for r in sensors.read_labelled(spark, data, label).collect()}
+    assert found == {(k, f"sensor_{i:03}"): (v, lab, t) for k, vs, lab, t in units for i, v in enumerate(vs)}
+    sensors.write_labels(frame.where("k > 0"), str(tmp_path / "short"), "k")
+    with pytest.raises(contracts.IngestError, match="row-count mismatch: 300 feature rows vs 299"):
+        sensors.read_labelled(spark, data, str(tmp_path / "short"))
+
+
 def test_rating_scales(spark, tmp_path):
     good = {f: {str(i): f"{f} {i}" for i in range(1, 11)} for f in scales.FACTORS}
     write = lambda name, doc: csv(tmp_path, name, json.dumps(doc))
