@@ -110,6 +110,11 @@ def imr_limits(points: DataFrame, keys: Sequence[str], value: str = "point", mov
     stats = points.groupBy(*keys).agg(
         F.count(value).alias("n_points"), F.avg(value).alias("center"), F.avg(moving_range).alias("mrbar")
     )
+    return individuals_limits(stats, keys)
+
+
+def individuals_limits(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Individuals limits from n_points, center (mean) and mrbar (mean moving range, null if there is none)."""
     status = (
         F.when(F.col("n_points") < 2, "too_few_points")
         .when(not_finite("center") | not_finite("mrbar"), "not_finite")

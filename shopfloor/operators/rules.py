@@ -39,53 +39,49 @@ def with_rules(
     in the whole group; rows must carry enough predecessors in ``partition`` for
     a 15-point frame. A sigma that is null or not positive fires nothing.
     """
+    # Written as SQL text: the same expressions built call by call took longer than running them on a small chart.
     wanted = rule_count(rule_set)
-    ordered = Window.partitionBy(*partition).orderBy(seq)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    c, s, i = F.col("_c"), F.col(sigma), F.col(seq)
+    i, s, v, mid = (f"`{name}`" for name in (seq, sigma, value, center))
+    over = f"partition by {', '.join(f'`{p}`' for p in partition)} order by {i}"
+    so_far = f"({over} rows between unbounded preceding and current row)"
 
     # Looking back over a few points is a lag each, and "k in a row" is the distance
     # to the last point that broke the row: both cost the same whatever the window
     # length, where a sliding ROWS sum is recomputed over its frame at every point.
-    start = F.col("_start")
-
-    def latest(condition: Column) -> Column:
+    def latest(condition: str) -> str:
         """Position of the last point meeting the condition, before the first point if none."""
-        return F.coalesce(F.max(F.when(condition, i)).over(so_far), start - 1)
-
-    def in_a_row(condition: Column, points: int) -> Column:
-        return i - latest(~F.coalesce(condition, F.lit(False))) >= points
+        return f"coalesce(max(if({condition}, {i}, null)) over {so_far}, _start - 1)"
 
-    def one_sided(multiple: float, points: int, needed: int) -> Column:
-        window = [c, *[F.col(f"_c{k}") for k in range(1, points)]]
-        above = sum((F.when(x > multiple * s, 1).otherwise(0) for x in window), F.lit(0))
-        below = sum((F.when(x < -(multiple * s), 1).otherwise(0) for x in window), F.lit(0))
-        return (i >= points - 1) & (((above >= needed) & (below == 0)) | ((below >= needed) & (above == 0)))
+    def in_a_row(condition: str, points: int) -> str:
+        return f"{i} - {latest(f'not coalesce({condition}, false)')} >= {points}"
 
-    staged = df.withColumn("_c", F.col(value) - F.col(center))
-    helpers = {f"_c{k}": F.lag("_c", k).over(ordered) for k in range(1, 5)} | {"_start": F.min(seq).over(so_far)}
-    if wanted > 4:
-        helpers["_d"] = F.signum(F.col(value) - F.lag(value).over(ordered))
-    staged = staged.withColumns(helpers)
-    if wanted > 4:
-        staged = staged.withColumn("_turn", F.col("_d") * F.lag("_d").over(ordered))
+    def one_sided(multiple: str, points: int, needed: int) -> str:
+        window = ["_c", *[f"_c{k}" for k in range(1, points)]]
+        above = " + ".join(f"if({x} > {multiple} * {s}, 1, 0)" for x in window)
+        below = " + ".join(f"if({x} < -({multiple} * {s}), 1, 0)" for x in window)
+        return f"{i} >= {points - 1} and ({above} >= {needed} and {below} = 0 or {below} >= {needed} and {above} = 0)"
 
     fired = [
-        F.abs(c) > 3.0 * s,
-        one_sided(2.0, 3, 2),
-        one_sided(1.0, 5, 4),
-        in_a_row(c > 0, 8) | in_a_row(c < 0, 8),
+        f"abs(_c) > 3.0D * {s}",
+        one_sided("2.0D", 3, 2),
+        one_sided("1.0D", 5, 4),
+        f"{in_a_row('_c > 0', 8)} or {in_a_row('_c < 0', 8)}",
     ]
+    helpers = [f"lag(_c, {k}) over ({over}) as _c{k}" for k in range(1, 5)] + [f"min({i}) over {so_far} as _start"]
+    staged = df.selectExpr("*", f"{v} - {mid} as _c")
     if wanted > 4:
-        both_sides = (i - latest(c > 0) < 8) & (i - latest(c < 0) < 8)
         fired += [
-            in_a_row(F.col("_d") > 0, 5) | in_a_row(F.col("_d") < 0, 5),
-            in_a_row(F.col("_turn") < 0, 12),
-            in_a_row(F.abs(c) < s, 15),
-            in_a_row(F.abs(c) > s, 8) & both_sides,
+            f"{in_a_row('_d > 0', 5)} or {in_a_row('_d < 0', 5)}",
+            in_a_row("_turn < 0", 12),
+            in_a_row(f"abs(_c) < {s}", 15),
+            f"{in_a_row(f'abs(_c) > {s}', 8)} and {i} - {latest('_c > 0')} < 8 and {i} - {latest('_c < 0')} < 8",
         ]
-    numbers = F.array_compact(F.array(*[F.when((s > 0) & rule, no + 1) for no, rule in enumerate(fired)]))
-    return staged.withColumn(out, numbers).drop("_c", "_turn", *helpers)
+        staged = staged.selectExpr("*", *helpers, f"signum({v} - lag({v}) over ({over})) as _d")
+        staged = staged.selectExpr("*", f"_d * lag(_d) over ({over}) as _turn")
+    else:
+        staged = staged.selectExpr("*", *helpers)
+    numbers = ", ".join(f"if({s} > 0 and ({rule}), {no}, null)" for no, rule in enumerate(fired, 1))
+    return staged.selectExpr(*[f"`{c}`" for c in df.columns if c != out], f"array_compact(array({numbers})) as `{out}`")
 
 
 def rule_name(number: Column) -> Column:

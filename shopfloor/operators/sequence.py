@@ -25,14 +25,14 @@ from shopfloor.sources.staging import stage
 
 CHUNK_ROWS = "shopfloor.chunkRows"
 LONGEST_LEAD_IN = 14
-_DEFAULTS = {CHUNK_ROWS: 1_000_000}
+_DEFAULTS = {CHUNK_ROWS: 32_768}
 
 
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(_DEFAULTS[name])))
 
 
-def _chunk_rows(spark: SparkSession) -> int:
+def chunk_rows(spark: SparkSession) -> int:
     return max(setting(spark, CHUNK_ROWS), LONGEST_LEAD_IN + 1)
 
 
@@ -94,7 +94,7 @@ def chunked(
     columns to partition windows by. ``lead_in`` is how many earlier rows the
     longest frame looks back on; ``most`` rows make a chunk where the setting has more.
     """
-    size = max(min(_chunk_rows(df.sparkSession), most or sys.maxsize), lead_in + 1)
+    size = max(min(chunk_rows(df.sparkSession), most or sys.maxsize), lead_in + 1)
     home = F.floor(F.col(seq) / size).cast("long")
     if lead_in == 0:
         return df.withColumn("_chunk", home).withColumn("_own", F.lit(True)), [*keys, "_chunk"]
@@ -116,7 +116,7 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> Dat
 def running_sum(df: DataFrame, keys: Sequence[str], seq: str, sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums along ``seq`` inside each group."""
     keys = list(keys)
-    size = _chunk_rows(df.sparkSession)
+    size = chunk_rows(df.sparkSession)
     rows = df.withColumn("_chunk", F.floor(F.col(seq) / size).cast("long"))
     totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,8 +16,9 @@ from shopfloor.functions import fixed
 from shopfloor.functions.maths import ratio
 from shopfloor.operators import rules as run_rules
 from shopfloor.operators.capability import gated_capability
-from shopfloor.operators.charts import ControlChart, imr_limits, moving_range
-from shopfloor.operators.sequence import attach_group, chunked, dense_sequence, join_groups, running_sum
+from shopfloor.operators.charts import ControlChart, individuals_limits
+from shopfloor.operators.segments import segments
+from shopfloor.operators.sequence import dense_sequence, join_groups, running_sum
 from shopfloor.sources.staging import stage
 
 
@@ -105,20 +106,32 @@ def signal_charts(
     keys, carry = list(keys), list(dict.fromkeys(carry))
     rows = df.select(*dict.fromkeys([*keys, "row_id", *carry, "value", *([position] if position else [])]))
     rows = rows.withColumn("_pos", F.col(position)) if position else dense_sequence(rows, keys, ["row_id"], out="_pos")
-    rows = rows.withColumnRenamed("value", "point")
-    counted = running_sum(rows, keys, "_pos", {"_seen": F.when(F.col("point").isNotNull(), 1).otherwise(0)})
-    cut, partition = chunked(counted, keys, "_pos", lead_in=1)
-    cut = cut.withColumn("mr", moving_range("point", partition, "_pos")).where(F.col("_own") & F.col("point").isNotNull())
-    # Limits and rules both start here; without this the gap handling would run twice.
-    present = stage(cut.select(*keys, (F.col("_seen") - 1).alias("idx"), *carry, "point", "mr"), "present")
-
-    limits = imr_limits(present, keys)
-    cut, partition = chunked(present, keys, "idx")
-    group = limits.select(*keys, "center", "sigma_zone", "ucl", "lcl")
-    tested = attach_group(cut, group, keys)
-    charted = run_rules.with_rules(tested, partition, "idx", "point", "center", "sigma_zone", rule_set)
+    rows = rows.withColumn("value", F.col("value").cast("double"))
+    cut = segments(rows.withColumnRenamed("value", "point"), keys, "_pos", "point")
+
+    stats = cut.carried.groupBy(*keys).agg(
+        F.sum("_present").alias("n_points"), F.sum("_total").alias("_total"), F.sum("_moved").alias("_moved"), F.sum("_moves").alias("_moves")
+    )
+    limits = individuals_limits(
+        stats.select(
+            *keys, "n_points", ratio(F.col("_total"), F.col("n_points")).alias("center"), ratio(F.col("_moved"), F.col("_moves")).alias("mrbar")
+        ),
+        keys,
+    )
+    present = cut.with_carried(limits.select(*keys, "center", "sigma_zone", "ucl", "lcl"))
+    # The last values of earlier segments go in before a segment's first, so that rules see them.
+    back = F.when(F.col("_nth") == 1, F.sequence(-F.size("_lead"), F.lit(0))).otherwise(F.array(F.lit(0)))
+    present = present.withColumn("mr", F.abs(F.col("point") - cut.before())).withColumn("_back", F.explode(back))
+    present = present.withColumns(
+        {
+            "idx": F.col("_seen") + F.col("_nth") - 1 + F.col("_back"),
+            "point": F.when(F.col("_back") == 0, F.col("point")).otherwise(F.get("_lead", F.size("_lead") + F.col("_back"))),
+        }
+    )
+    partition = [*keys, "_chunk"]
+    tested = run_rules.with_rules(present, partition, "idx", "point", "center", "sigma_zone", rule_set)
     before = F.lag("point").over(Window.partitionBy(*partition).orderBy("idx"))
-    charted = charted.withColumn("previous", before).where("_own")
+    charted = tested.withColumn("previous", before).where("_back = 0")
     points = charted.select(*keys, "idx", *carry, "point", "mr", "previous", "center", "ucl", "lcl", "rules")
     return ControlChart("I-MR", keys, carry, rule_set, limits, points)
 
@@ -137,12 +150,11 @@ def autocorrelation(chart: ControlChart) -> DataFrame:
 
 def present_runs(df: DataFrame, position: str, keys: Sequence[str] = ("signal",)) -> DataFrame:
     """Number the contiguous runs of present values of each sensor, from 0."""
-    keys = list(keys)
-    cut, partition = chunked(df, keys, position, lead_in=1)
-    gap_before = F.lag("value").over(Window.partitionBy(*partition).orderBy(position)).isNull()
-    starts = cut.withColumn("_start", F.when(gap_before & F.col("value").isNotNull(), 1).otherwise(0)).where("_own")
-    numbered = running_sum(starts.drop("_chunk", "_own"), keys, position, {"_run": F.col("_start")})
-    return numbered.where("value is not null").withColumn("run", F.col("_run") - 1).drop("_run", "_start")
+    cut = segments(df, keys, position, "value")
+    starts = F.when(cut.before().isNull(), 1).otherwise(0)
+    inside = Window.partitionBy(*cut.keys, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.with_carried().withColumn("_start", starts)
+    return found.withColumn("run", F.col("_runs") + F.sum("_start").over(inside) - 1).select(*df.columns, "run")
 
 
 def signal_capability(df: DataFrame, chart: ControlChart, limits: DataFrame) -> DataFrame:

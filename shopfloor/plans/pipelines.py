@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from shopfloor.operators.charts import ControlChart, control_chart
 from shopfloor.operators.feedback import occurrence_feedback
 from shopfloor.operators.sequence import dense_sequence
 from shopfloor.sources.contracts import FMEA, ROW_NO
+from shopfloor.sources.staging import stage
 
 
 def risk_pipeline(df: DataFrame, basis: str = "rpn", *, strict: bool = False) -> DataFrame:
@@ -71,7 +73,12 @@ class SensorStudy:
     audit: DataFrame
     chart: ControlChart
     yields: DataFrame
-    pareto: DataFrame
+    labels: DataFrame
+
+    @cached_property
+    def pareto(self) -> DataFrame:
+        """Violations on failed units per sensor; charts every point when it is first asked for."""
+        return signals.failing_signal_pareto(self.chart, self.labels)
 
 
 def sensor_study(
@@ -84,8 +91,9 @@ def sensor_study(
     carry: Sequence[str] = ("row_id",),
 ) -> SensorStudy:
     """Screen sensors, chart the kept ones, and relate their violations to failed units."""
-    audit = signals.screening_audit(readings, criteria)
+    # One row a sensor; the charts' ordering samples what it sorts, which must not run the audit again.
+    audit = stage(signals.screening_audit(readings, criteria), "audit")
     chart = signals.signal_charts(
         signals.kept(readings, audit), position=position, rule_set=rule_set, carry=carry
     )
-    return SensorStudy(audit, chart, signals.yield_summary(labels), signals.failing_signal_pareto(chart, labels))
+    return SensorStudy(audit, chart, signals.yield_summary(labels), labels)

@@ -126,21 +126,24 @@ def gage(spark: SparkSession, folder: str) -> DataFrame:
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     """Long sensor table: honest gaps, a constant, a near-constant and a sparse signal."""
+    largest = table(spark, folder, "lineitem").groupBy(
+        F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").cast("int").alias("n")
+    ).agg(F.max("l_extendedprice").alias("v"))
+    by_line = F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("_by")  # seven lines at most
     units = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("label")
     )
-    readings = table(spark, folder, "lineitem").groupBy(
-        F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").cast("int").alias("n")
-    ).agg(F.max("l_extendedprice").alias("v"))
-    grid = units.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10))))
     n, row = F.col("n"), F.col("row_id")
     value = (
-        F.when(n <= 7, F.col("v"))
+        F.when(n <= 7, F.col("_by")[n])
         .when(n == 8, 5.0)
         .when(n == 9, F.when(row % 50 == 0, 1.0).otherwise(0.0))
         .when(row < 60, row * 1.0)
     )
-    return grid.join(readings, ["row_id", "n"], "left").select(
+    # Ten rows come of one: spread by number, as the small rows before would be packed into few tasks.
+    spread = units.repartition(spark.sparkContext.defaultParallelism, "row_id")
+    grid = spread.join(largest.groupBy("row_id").agg(by_line), "row_id", "left")
+    return grid.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10)))).select(
         "row_id",
         "label",
         F.concat(F.lit("sensor_"), F.lpad(n.cast("string"), 3, "0")).alias("signal"),
