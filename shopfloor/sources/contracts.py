@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +67,8 @@ class Field:
             return text.try_cast("long")
         return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
-    def problems(self, df: DataFrame) -> list[tuple[Column, str]]:
-        """(broken, message) pairs in the order they are looked at."""
-        raw, number = self.raw(df), self.number(df)
+    def problems(self, raw: Column, number: Column) -> list[tuple[Column, str]]:
+        """(broken, message) pairs in the order they are looked at, of a cell's text and value."""
         missing = F.lit(False) if self.optional else raw.isNull()
         if self.kind == "text":
             found = [(missing, "Input should be a valid string"), (F.trim(raw) == "", self.blank_message)]
@@ -150,41 +150,46 @@ class Contract:
         return df.select(*[casts.get(c, F.col(c)).alias(c) for c in df.columns])
 
     def row_errors(self, df: DataFrame, row_no: str = ROW_NO) -> DataFrame:
-        """First problem of every bad cell, then broken row rules of rows without bad cells."""
+        """First problem of every bad cell, then broken row rules of rows without bad cells.
+
+        A clean row costs its checks alone: each cell's first broken check is a small
+        number, rows without any are dropped, and texts are made for the others.
+        """
         fields = self.present(df)
-        cells = []
-        for i, f in enumerate(fields):
-            msg = None
-            for broken, message in f.problems(df):
-                msg = F.when(broken, message) if msg is None else msg.when(broken, message)
-            cells.append(
-                F.when(
-                    msg.isNotNull(),
-                    F.struct(F.lit(i).alias("ord"), F.lit(f.name).alias("column"), f.raw(df).alias("value"), msg.alias("msg")),
-                )
-            )
-        checked = df.select(
+        n = len(fields)
+        read = df.select(
             F.col(row_no).alias("row_no"),
-            F.array_compact(F.array(*cells)).alias("_cells"),
-            *[f.typed(df).alias(f.name) for f in fields],
+            *[f.raw(df).alias(f"_r{i}") for i, f in enumerate(fields)],
+            *[f.number(df).alias(f"_n{i}") for i, f in enumerate(fields) if f.kind not in ("text", "choice")],
+            *([f.typed(df).alias(f"_t{i}") for i, f in enumerate(fields)] if self.row_rules else []),
         )
+        codes, messages = [], []
+        for i, f in enumerate(fields):
+            found = f.problems(F.col(f"_r{i}"), F.col(f"_n{i}"))
+            code = reduce(lambda c, k: c.when(found[k][0], k + 1), range(1, len(found)), F.when(found[0][0], 1))
+            codes.append(F.coalesce(code, F.lit(0)).alias(f"_c{i}"))
+            messages.append([message for _, message in found])
+        rules = []
         if self.row_rules:
-            typed = {f.name: F.col(f.name) if f.name in df.columns else F.lit(None).cast("double") for f in self.fields}
-            rules = [
-                F.when(
-                    broken,
-                    F.struct(
-                        F.lit(len(self.fields) + i).alias("ord"),
-                        F.lit(None).cast("string").alias("column"),
-                        F.lit(None).cast("string").alias("value"),
-                        F.lit(message).alias("msg"),
-                    ),
-                )
-                for i, (broken, message) in enumerate(self.row_rules(typed))
-            ]
-            whole = F.slice(F.array_compact(F.array(*rules)), 1, 1)
-            checked = checked.withColumn("_cells", F.when(F.size("_cells") == 0, whole).otherwise(F.col("_cells")))
-        found = checked.select("row_no", F.explode("_cells").alias("e")).select("row_no", "e.*")
+            places = {f.name: i for i, f in enumerate(fields)}
+            typed = {f.name: F.col(f"_t{places[f.name]}") if f.name in places else F.lit(None).cast("double") for f in self.fields}
+            rules = self.row_rules(typed)
+        broken = F.lit(0)
+        for i, (condition, _) in reversed(list(enumerate(rules))):
+            broken = F.when(condition, i + 1).otherwise(broken)
+        coded = read.select("*", *codes, broken.alias("_rule"))
+        cells_ok = reduce(lambda x, y: x & y, [F.col(f"_c{i}") == 0 for i in range(n)], F.lit(True))
+        bad = coded.where(~cells_ok | (F.col("_rule") > 0)).withColumn("_rule", F.when(cells_ok, F.col("_rule")).otherwise(0))
+
+        def cell(ord_: Column, column: Column, value: Column, texts: Sequence[str], code: Column) -> Column:
+            msg = F.element_at(F.array(*map(F.lit, texts)), code)
+            return F.when(code > 0, F.struct(ord_.alias("ord"), column.alias("column"), value.alias("value"), msg.alias("msg")))
+
+        cells = [cell(F.lit(i), F.lit(f.name), F.col(f"_r{i}"), messages[i], F.col(f"_c{i}")) for i, f in enumerate(fields)]
+        if rules:
+            none = F.lit(None).cast("string")
+            cells.append(cell(F.lit(len(self.fields) - 1) + F.col("_rule"), none, none, [m for _, m in rules], F.col("_rule")))
+        found = bad.select("row_no", F.explode(F.array_compact(F.array(*cells))).alias("e")).select("row_no", "e.*")
         return found.withColumn("message", self._row_message())
 
     def _row_message(self) -> Column:
