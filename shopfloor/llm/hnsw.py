@@ -26,6 +26,8 @@ SHARD = 8_192
 DEGREE = 12
 BUILD_BEAM = 40
 BEAM = 32
+MOST_BEAM = 128
+"""A search costs its beam squared; queries that need a wider one are answered by a matrix product over the shard."""
 AUDITED = 64
 """Queries per shard and batch that brute force answers too."""
 RECALL = 0.98
@@ -36,6 +38,8 @@ QUERIES = 4_096
 """Queries that go through a graph together."""
 PAIR_NUMBERS = 1 << 21
 """Numbers of vectors held at a time, on either side, to verify pairs."""
+MOST_TASKS = 10_000
+"""Tasks that shards, or pairs of shards, are dealt to at most; a task takes them one after another."""
 
 
 class Hnsw:
@@ -209,13 +213,13 @@ class Hnsw:
                 enough = np.minimum(met.sum(axis=1), k).sum() >= recall * k * len(sample)
             if enough:
                 break
-            width = min(2 * width, n)
+            width = min(2 * width, n) if width < MOST_BEAM else n
         return width
 
     def _hits(self, queries: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, todo = len(self.vectors), np.arange(len(queries))
         while len(todo):
-            if beam >= n:
+            if beam >= min(n, MOST_BEAM + 1):
                 # As dear as brute force, so it is that.
                 for at in range(0, len(todo), 256):
                     q, v = np.nonzero(queries[todo[at : at + 256]] @ self.vectors.T >= cosine)
@@ -342,11 +346,15 @@ def near_duplicates(
         return pa.table({"a": a, "b": b, "others": np.concatenate([sums[met_], np.zeros(apart.sum(), np.int64)])})
 
     kind = vectors.schema[label].dataType.simpleString()
-    built = homes.select("label", "size", "shard", "rep", "v", "copies").groupBy("label", "size", "shard")
+    # A few large rows weigh too little to be spread by their bytes, so the tasks are counted.
+    number = shards.agg(F.sum("shards").alias("one"), F.sum(F.expr("shards * (shards + 1) div 2")).alias("two")).first()
+    tasks, met_tasks = (min(max(n or 1, 1), MOST_TASKS) for n in number)
+    built = homes.select("label", "size", "shard", "rep", "v", "copies").repartition(tasks, "label", "size", "shard").groupBy("label", "size", "shard")
     graphs = stage(built.applyInArrow(build, f"label {kind}, size int, shard int, reps binary, copies binary, graph binary"), "graphs")
     asking = [F.col(c).alias(name) for c, name in (("shard", "block"), ("reps", "asking"), ("copies", "a_copies"), ("graph", "vectors"))]
     # Each pair of shards meets once, in both directions.
     met = graphs.select("label", "size", *asking).join(graphs, ["label", "size"]).where("block <= shard")
+    met = met.repartition(met_tasks, "label", "size", "shard", "block")
     found = stage(met.groupBy("label", "size", "shard", "block").applyInArrow(link, "a long, b long, others long"), "vector-links")
     both = found.where("b is null").groupBy("a").agg(F.sum("others").alias("others"))
     pairs = found.where("b is not null").select("a", "b")

@@ -1,5 +1,7 @@
 """Links of embedding shards: dense clusters and audits, against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from test_vectors_and_pages import SCHEMA, by_brute_force, clustered
@@ -79,3 +81,19 @@ def test_matches_of_vectors_with_themselves_are_no_evidence():
     # 64 audited vectors find themselves, and one of them misses its partner.
     links = hnsw.linked(FindsItself(x), None, 0.93)
     assert np.argwhere(links).tolist() == [[0, 5], [5, 0]]
+
+
+def test_a_dense_cluster_in_one_shard_is_quick():
+    """Every vector links with nearly every other: beams stop widening and the shard is multiplied through."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=64)
+    x = centre / np.linalg.norm(centre) + 0.02 * rng.normal(size=(3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Hnsw(x)
+    graph.width = graph.audit(x, 0.93, hnsw.BEAM, own_at=0)
+    began = time.perf_counter()
+    links = hnsw.linked(graph, None, 0.93)
+    assert time.perf_counter() - began < 60
+    expected = x @ x.T >= 0.93
+    np.fill_diagonal(expected, False)
+    assert (links == expected).mean() > 0.9999
