@@ -152,7 +152,13 @@ class TokenFileReader:
 
 
 def write_token_files(
-    df: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", label: str = "tokens"
+    df: DataFrame,
+    tokenizer: str,
+    end_id: int = 1,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "tokens",
+    units_kept: int = 1_200_000,
 ) -> DataFrame:
     """Encode whole texts and write them in ascending order of ``key``; returns the manifest.
 
@@ -160,7 +166,8 @@ def write_token_files(
     in key order. Every input row is one document: null and empty texts hold just
     the end id, null keys come first, rows with equal keys stand in order of a
     hash of their text. An empty table gives no files. The rows are range
-    partitioned by (key, text hash), so no key gathers in one task.
+    partitioned by (key, text hash), so no key gathers in one task. Each worker
+    remembers the ids of at most ``units_kept`` words.
     """
     target = folder(df.sparkSession, label)
     order = [F.col("key").asc_nulls_first(), F.col("tie")]
@@ -168,7 +175,7 @@ def write_token_files(
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, source, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
+        place, source, writer = TaskContext.get().partitionId(), encoder(tokenizer, units_kept), None
         end = np.array([end_id], np.uint32)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -215,5 +222,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         }
                     )
 
-    spread = files.repartition(F.col("file"))
+    # A name a row weighs nothing, so the tasks are counted: one a file.
+    spread = files.repartition(max(manifest.count(), 1))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
