@@ -28,6 +28,8 @@ FAN_IN = 16
 NEARLY_FULL = 0.995
 SECTION = 400_000
 """Pieces one task packs together; longer partitions are packed in sections."""
+_BIN_BITS, _SECTION_BITS = 28, 16
+"""Bits of a sequence id for the sequence in its section and the section in its partition."""
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
-def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str, text: str) -> DataFrame:
+def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str, text: str, units_kept: int) -> DataFrame:
     """Pieces of all documents, packed best-fit inside each partition."""
 
     def packed(columns: dict[str, list], leaf: int) -> pa.RecordBatch:
@@ -82,7 +84,7 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str,
                 pa.array(columns["doc_id"], pa.int64()),
                 pa.array(columns["piece"], pa.int32()),
                 *[pa.array(columns[c], pa.int64()) for c in ("start", "length", "ids_crc32")],
-                pa.array(bins + (leaf << 32), pa.int64()),
+                pa.array(bins + (leaf << _BIN_BITS), pa.int64()),
                 pa.array(offsets, pa.int64()),
                 pa.array(fills[bins] if len(bins) else bins, pa.int64()),
             ],
@@ -90,8 +92,8 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str,
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        leaf = TaskContext.get().partitionId() << 10  # up to 1024 sections a partition
+        source, end = encoder(tokenizer, units_kept), np.array([end_id], np.uint32)
+        leaf = TaskContext.get().partitionId() << _SECTION_BITS
         columns: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -105,6 +107,8 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str,
             if len(columns["piece"]) >= SECTION:
                 yield packed(columns, leaf)
                 leaf += 1
+                if not leaf & ((1 << _SECTION_BITS) - 1):
+                    raise ValueError("a partition holds too many pieces; use more partitions")
                 columns = {c: [] for c in columns}
         if columns["piece"]:
             yield packed(columns, leaf)
@@ -148,6 +152,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     key: str = "doc_id",
     text: str = "text",
+    units_kept: int = 600_000,
 ) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens.
 
@@ -155,12 +160,13 @@ def pack_documents(
     end id alone). Longer documents are cut into pieces of ``capacity``, the first
     piece possibly shorter. Returns per piece: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset. Null and repeated keys are kept as rows of
-    their own; an empty table gives no rows.
+    their own; an empty table gives no rows. Each worker remembers the ids of at
+    most ``units_kept`` words.
     """
-    pieces = stage(_pieces(df, tokenizer, end_id, capacity, key, text), "pieces")
+    pieces = stage(_pieces(df, tokenizer, end_id, capacity, key, text, units_kept), "pieces")
     underfull = pieces.where(F.col("fill") < NEARLY_FULL * capacity)
     # Per section: one sequence at most half full and the FAN_IN emptiest others.
-    heads = underfull.where("offset = 0").select(F.shiftright("bin", 32).alias("leaf"), "bin", "fill")
+    heads = underfull.where("offset = 0").select(F.shiftright("bin", _BIN_BITS).alias("leaf"), "bin", "fill")
 
     def chosen(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in part:
@@ -170,14 +176,14 @@ def pack_documents(
     # Batches of a section first drop what cannot matter; the merge sees a bounded rest.
     heads = heads.mapInPandas(chosen, "leaf long, bin long, fill long")
     state = heads.select(
-        F.shiftright("leaf", 10).alias("node"),
+        F.shiftright("leaf", _SECTION_BITS).alias("node"),
         "bin",
         "fill",
         F.array("bin").alias("members"),
         F.array(F.lit(0).cast("long")).alias("shifts"),
         F.lit(True).alias("up"),
     )
-    last = heads.agg(F.max(F.shiftright("leaf", 10))).first()[0]
+    last = heads.agg(F.max(F.shiftright("leaf", _SECTION_BITS))).first()[0]
     done: list[DataFrame] = []
     while last is not None:
         state = stage(state.groupBy("node").applyInPandas(_merged(capacity), _STATE), "merge")

@@ -73,7 +73,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, units_kept=1_200_000)
 
 
 @query
