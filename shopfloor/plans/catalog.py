@@ -803,7 +803,7 @@ def spc_occurrence_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def live_snapshot_xbar_r(spark: SparkSession, d: str) -> DataFrame:
-    chart = live_snapshot(views.spc_var(spark, d), 5)
+    chart = live_snapshot(views.measurements(spark, d), 5, order=["ts", "row_id"])
     found = charts.violation_summary(chart).select("stream", "violation_events")
     cols = ["stream", "n_points", "center", "sigma_hat", "ucl", "lcl"]
     return rounded(chart.limits.select(*cols).join(found, "stream"))
@@ -811,7 +811,7 @@ def live_snapshot_xbar_r(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def live_snapshot_imr(spark: SparkSession, d: str) -> DataFrame:
-    chart = live_snapshot(views.spc_var(spark, d), 1, rule_set="nelson")
+    chart = live_snapshot(views.measurements(spark, d), 1, order=["ts", "row_id"], rule_set="nelson")
     found = charts.violation_summary(chart).select("stream", "violation_events")
     cols = ["stream", "n_points", "center", "sigma_hat", "ucl", "lcl"]
     return rounded(chart.limits.select(*cols).join(found, "stream"))

@@ -12,12 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spc_var(spark: SparkSession, folder: str) -> DataFrame:
-    """Individual measurements: five streams ordered by time."""
-    events = table(spark, folder, "events").select(
+def measurements(spark: SparkSession, folder: str) -> DataFrame:
+    """Individual measurements of five streams, with their time."""
+    return table(spark, folder, "events").select(
         F.col("event_type").alias("stream"), F.col("event_id").alias("row_id"), "ts", "value"
     )
-    return dense_sequence(events, ["stream"], ["ts", "row_id"]).drop("ts")
+
+
+def spc_var(spark: SparkSession, folder: str) -> DataFrame:
+    """Individual measurements numbered by time in each stream."""
+    return dense_sequence(measurements(spark, folder), ["stream"], ["ts", "row_id"]).drop("ts")
 
 
 def spc_subgroups(spark: SparkSession, folder: str, size: int = 5) -> DataFrame:

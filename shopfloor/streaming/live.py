@@ -8,7 +8,7 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -282,10 +282,10 @@ def monitor_in_batches(
 def last_window_rows(df: DataFrame, subgroup_size: int, window: int = WINDOW, stream: str = "stream") -> DataFrame:
     """Measurements of the last ``window`` complete subgroups of each stream.
 
-    ``df`` carries the 0-based position ``seq``; the rows wanted follow from each
-    stream's row count, so nothing is sorted.
+    ``df`` carries the 0-based position ``seq`` of rows that reach their stream's
+    end; the rows wanted follow from the last position, so nothing is sorted.
     """
-    sizes = df.groupBy(stream).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(stream).agg((F.max("seq") + 1).alias("_n"))
     whole = F.col("_n") - F.col("_n") % subgroup_size
     first = F.greatest(F.lit(0), whole - window * subgroup_size)
     kept = join_groups(df, sizes, [stream]).where((F.col("seq") >= first) & (F.col("seq") < whole))
@@ -296,11 +296,39 @@ def last_window_rows(df: DataFrame, subgroup_size: int, window: int = WINDOW, st
     )
 
 
+def newest_rows(df: DataFrame, most: int, order: Sequence[str], stream: str = "stream") -> DataFrame:
+    """The last ``most`` rows of each stream in ``order``, with their 0-based position ``seq`` in the whole stream.
+
+    Each task keeps its own last rows before anything moves, and positions follow
+    from the streams' row counts, so the table is neither sorted nor numbered.
+    """
+    back = Window.partitionBy(stream).orderBy(*[F.col(c).desc() for c in order])
+    kept = df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= most)
+    sizes = df.groupBy(stream).agg(F.count(F.lit(1)).alias("_all"))
+    return join_groups(kept, sizes, [stream]).select(*df.columns, (F.col("_all") - F.col("_back")).alias("seq"))
+
+
 def live_snapshot(
-    df: DataFrame, subgroup_size: int, *, rule_set: str = "we", window: int = WINDOW, stream: str = "stream"
+    df: DataFrame,
+    subgroup_size: int,
+    *,
+    order: Sequence[str] | None = None,
+    rule_set: str = "we",
+    window: int = WINDOW,
+    stream: str = "stream",
 ) -> ControlChart:
-    """Batch twin of the live monitor: the chart of each stream's last window."""
-    rows = last_window_rows(df, subgroup_size, window, stream)
+    """Batch twin of the live monitor: the chart of each stream's last window.
+
+    With ``order`` (total inside a stream) only the newest rows of each stream are
+    kept; without it the rows carry their position ``seq``.
+    """
+    if order:
+        newest = newest_rows(df, window * subgroup_size + subgroup_size - 1, order, stream)
+        # A bounded table, read several times by the chart.
+        rows = stage(last_window_rows(newest, subgroup_size, window, stream), "newest")
+    else:
+        rows = last_window_rows(df, subgroup_size, window, stream)
+    # A stream holds a window of points at most, so its subgroups are numbered as they are.
     if subgroup_size == 1:
         return control_chart(rows, "I-MR", [stream], position="place", rule_set=rule_set)
     return control_chart(rows, "Xbar-R", [stream], rule_set=rule_set)
