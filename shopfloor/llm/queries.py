@@ -89,7 +89,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.apply_rules(rules.measured(table(spark, sf_dir, "documents")))
+    docs = rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = rules.apply_rules(docs, given=rules.MEASURES)
     return judged.select(
         "doc_id",
         *rules.MEASURES,
