@@ -99,6 +99,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op10_quality_rules"] = r"""
+with numbered as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), cut as (
+    select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+    from numbered
+), windows as (
+    select r, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) as g
+    from cut where len(w) >= 3
+), repeated as (
+    select r, i from (select r, i, count(*) over (partition by r, g) as n from windows) where n > 1
+), covered as (
+    select r, count(*) as n from (select distinct r, i + k as at from repeated, (select unnest([0, 1, 2]) as k)) group by r
+), counted as (
+    select doc_id, t, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+           cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
+           cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+           len(l) as n_lines, length(t) - length(replace(t, '!', '')) as shouts
+    from cut left join covered c using (r)
+), based as (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or 10 * n_symbols > 3 * n_words or word_chars not between 2 * n_words and 20 * n_words
+            or (n_lines >= 4 and 2 * n_dup_lines > n_lines) or 10 * shouts > 3 * n_words) as kept
+from based
+"""
+
+
 @query
 def op11_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -140,8 +140,10 @@ class Estimate:
 def estimates(df: DataFrame, rules: list[Rule], text: str = "text", given: Collection[str] = (), sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and rejections of each rule alone, on a sample of about ``sample_rows`` rows that is written down once."""
     share = min(1.0, sample_rows / max(df.count(), 1))
-    value = F.coalesce(F.col(text), F.lit("")).alias("text")
-    sample = stage(df.select(value, *(F.col(g) for g in given if g != text)).sample(share, seed=7), "rule-sample")
+    # Only texts are drawn: a column of measures would be computed for every row before the draw.
+    sample = stage(df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).sample(share, seed=7), "rule-sample")
+    if given:
+        sample = stage(measured(sample).select("text", *given), "rule-sample-measured")
     sample, measures = _worded(sample, "text", given)
 
     def timed(condition: Column) -> tuple[float, int]:

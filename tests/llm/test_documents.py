@@ -224,3 +224,17 @@ def test_quality_of_awkward_rows(spark):
     got = quality.classify(docs, few, F.lit(True)).collect()
     assert all(0 <= r.score <= 1 for r in got)
     assert quality.classify(documents(spark, []), few, F.lit(True)).count() == 0
+
+
+def test_sql_of_the_quality_rules():
+    import duckdb
+    import pyarrow as pa
+
+    from shopfloor.llm.queries import SQL
+
+    texts = [t for _, t, _ in awkward()] + ["", "a a a a", "x\nx\n\n \nx\nx", "w " * 60, "a b c\nz a b c", " ".join(f"w{k}" for k in range(60))]
+    with duckdb.connect() as con:
+        con.register("documents", pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())}))
+        got = {r[0]: r[1:] for r in con.execute(SQL["op10_quality_rules"]).fetchall()}
+    assert {k: r[:5] for k, r in got.items()} == {k: measures(t) for k, t in enumerate(texts)}
+    assert [got[k][6] for k in (len(texts) - 1, len(texts) - 3)] == [True, False]
