@@ -91,8 +91,8 @@ class Discriminant:
 def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE) -> Discriminant:
     """From count, sum and sum of outer products of each class.
 
-    Each class covariance is drawn by ``shrinkage`` towards the pooled covariance's
-    mean variance, so it stays regular with few rows or constant statistics.
+    Each class covariance is drawn by ``shrinkage`` towards its own mean variance
+    times the identity, so it stays regular with few rows or constant statistics.
     """
     d = len(FEATURES)
     none = (0.0, np.zeros(d), np.zeros((d, d)))
