@@ -88,21 +88,31 @@ def hot_shingles(signed: DataFrame, n_sets: int) -> np.ndarray:
     return np.array([h for _, h in sorted((r["c"], r["h"]) for r in rows)], np.int64).view(np.uint64)
 
 
-_PACKED = ["sigs", "sizes", "counts", "hashes", "ranks"]
-_FORWARD = "bucket int, sigs binary, sizes binary, counts binary, hashes binary, ranks binary"
+_PACKED = ["ids", "sizes", "counts", "hashes", "ranks"]
+_FORWARD = "bucket int, ids binary, sizes binary, counts binary, hashes binary, ranks binary"
 
 
-def _packed(key: int, sigs: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, ranks: np.ndarray | None, low: bool) -> tuple:
-    """One row for the entries (owner, hash) of a group, owners ascending: owners once, then their hashes."""
-    owners, counts = np.unique(owner, return_counts=True)
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned integers at the least width that holds all of them; the width goes first."""
+    width = np.min_scalar_type(int(values.max(initial=0))).itemsize
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
+def _packed(key: int, ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray, low: bool, sizes: np.ndarray | None = None, ranks: np.ndarray | None = None) -> tuple:
+    """One row for the hashes of the sets with these ascending ids: differences of ids, hashes a set, then the hashes."""
     data = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 6 if low else 8])
+    steps = np.diff(ids, prepend=ids[:1]).view(np.uint64)
     return (
         key,
-        sigs[owners].tobytes(),
-        sizes[owners].astype("<u4").tobytes(),
-        counts.astype("<u4").tobytes(),
+        ids[:1].astype("<i8").tobytes() + _narrow(steps),
+        _narrow(np.zeros(0, np.uint8) if sizes is None else sizes),
+        _narrow(counts),
         data.tobytes(),
-        b"" if ranks is None else ranks.astype("<u4").tobytes(),
+        _narrow(np.zeros(0, np.uint8) if ranks is None else ranks),
     )
 
 
@@ -113,14 +123,24 @@ def _rows(packed: list[tuple], key: str) -> pa.RecordBatch:
 
 
 def _unpacked(table: pa.Table, low: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows: signatures and set sizes of owners, owner of each entry, hash, rank."""
-    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    sigs, sizes, counts = join("sigs", "S16"), join("sizes", "<u4"), join("counts", "<u4")
-    sigs = np.frombuffer(sigs.tobytes(), np.uint8).reshape(-1, 16)
-    raw = join("hashes", np.uint8).reshape(-1, 6 if low else 8)
+    """Of all rows: set ids, sizes where the row tells them (else 0), and owner, hash and rank of each entry."""
+    ids, sizes, counts, ranks = [], [], [], []
+    for some, told, each, order in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "counts", "ranks"))):
+        first = np.frombuffer(some, "<i8", 1).view(np.uint64)
+        ids.append((first + np.cumsum(_wide(some[8:]), dtype=np.uint64)).view(np.int64))
+        counts.append(_wide(each).astype(np.int64))
+        sizes.append(_wide(told).astype(np.int64) if len(told) > 1 else np.zeros(len(ids[-1]), np.int64))
+        ranks.append(_wide(order).astype(np.uint32))
+    raw = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, 6 if low else 8)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, : raw.shape[1]] = raw
-    return sigs, sizes, np.repeat(np.arange(len(counts), dtype=np.int32), counts), wide.view("<u8").ravel(), join("ranks", "<u4")
+    ids, sizes, counts, ranks = (np.concatenate(x) for x in (ids, sizes, counts, ranks))
+    return ids, sizes, np.repeat(np.arange(len(counts), dtype=np.int32), counts), wide.view("<u8").ravel(), ranks
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Even split of sets by their id."""
+    return _slot(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts).astype(np.int64)
 
 
 def _slot(values: np.ndarray, slots: int) -> np.ndarray:
@@ -128,11 +148,12 @@ def _slot(values: np.ndarray, slots: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
 
 
-def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarray, buckets: int, threshold: tuple[int, int]) -> DataFrame:
-    """Sets that may have a partner: sig, n, alone (shingles no other set has), tokens, prefix (t, pos), classes.
+def shared_shingles(reps: DataFrame, n: int, hot: np.ndarray, buckets: int, threshold: tuple[int, int]) -> DataFrame:
+    """Sets that may have a partner: rep, n, alone (shingles no other set has), tokens, prefix (t, pos), classes.
 
-    ``tokens`` are the shingles that two sets or more have; ``prefix`` those of
-    them among the rarest n - ceil(t n) + 1, with their place in the order.
+    ``reps`` are (id, text) of one document of each set. ``tokens`` are the
+    shingles that two sets or more have; ``prefix`` those of them among the rarest
+    n - ceil(t n) + 1, with their place in the order.
     """
     order = np.argsort(hot)
     hot_sorted = hot[order]
@@ -141,30 +162,35 @@ def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarra
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in batches_of(batch):
-                found = shingle_sets(batch.column(1)[a:b].to_pylist(), n)
-                distinct = {signature(s): s for s in found if len(s)}
-                if not distinct:
+                found = dict(zip(batch.column(0)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), n)))
+                found = {i: found[i] for i in sorted(found) if len(found[i])}
+                if not found:
                     continue
-                sets = list(distinct.values())
-                sigs = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, 16)
-                sizes = np.array([len(s) for s in sets])
-                owner, hashes = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+                ids, sizes = np.array(list(found), np.int64), np.array([len(s) for s in found.values()])
+                owner, hashes = np.repeat(np.arange(len(ids)), sizes), np.concatenate(list(found.values()))
+                del found
                 at = np.searchsorted(hot_sorted, hashes)
                 at[at == len(hot_sorted)] = 0
                 is_hot = hot_sorted[at] == hashes if len(hot_sorted) else np.zeros(len(hashes), bool)
+                packed = []
+                # The rank of hot ones is known, so they go straight to the part of their set, as does its size.
+                part = _part(ids, buckets)
+                sets, hots = np.argsort(part, kind="stable"), np.flatnonzero(is_hot)
+                hots = hots[np.argsort(part[owner[hots]], kind="stable")]
+                parts, starts = np.unique(part[sets], return_index=True)
+                lead = np.searchsorted(part[owner[hots]], [*parts, buckets])
+                many = np.bincount(owner[hots], minlength=len(ids))
+                for k, mine, i, j in zip(parts, np.split(sets, starts[1:]), lead, lead[1:]):
+                    rows = hots[i:j]
+                    packed.append(_packed(buckets + int(k), ids[mine], many[mine], hashes[rows], False, sizes[mine], order[at[rows]] + _HOT_RANK))
+                owner, hashes = owner[~is_hot], hashes[~is_hot]
                 home = _slot(hashes, buckets).astype(np.int64)
-                if is_hot.any():
-                    # Their rank is known, so they go straight to the part of their set.
-                    part = _slot(sigs.view("<u8")[:, 0], buckets).astype(np.int64)
-                    home[is_hot] = buckets + part[owner[is_hot]]
                 by_home = np.argsort(home, kind="stable")
                 cuts = np.flatnonzero(np.diff(home[by_home], prepend=-1, append=-2))
-                packed = []
                 for i, j in zip(cuts, cuts[1:]):
                     rows = by_home[i:j]
-                    k = int(home[rows[0]])
-                    ranks = order[at[rows]] + _HOT_RANK if k >= buckets else None
-                    packed.append(_packed(k, sigs, sizes, owner[rows], hashes[rows], ranks, low=k < buckets))
+                    owners, counts = np.unique(owner[rows], return_counts=True)
+                    packed.append(_packed(int(home[rows[0]]), ids[owners], counts, hashes[rows], True))
                     if len(packed) >= 64:
                         yield _rows(packed, "bucket")
                         packed = []
@@ -174,12 +200,12 @@ def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarra
         k = table.column("bucket")[0].as_py()
         if k >= buckets:
             return table.set_column(0, "part", pa.array([k - buckets] * len(table), pa.int32()))
-        sigs, sizes, owner, hashes, _ = _unpacked(table, low=True)
-        # A set comes once from each batch that holds a copy of it.
-        names = sigs.view("<u8")
-        _, first, same = np.unique(names, axis=0, return_index=True, return_inverse=True)
-        again = first[same.ravel()][owner] != owner
-        owner, hashes = owner[~again], hashes[~again]
+        ids, _, owner, hashes, _ = _unpacked(table, low=True)
+        names, first, same = np.unique(ids, return_index=True, return_inverse=True)
+        if len(names) < len(ids):  # rows that repeat an id
+            mine = first[same][owner] == owner
+            owner, hashes = owner[mine], hashes[mine]
+        owner = same[owner]
         order = np.argsort(hashes)
         owner, hashes = owner[order], hashes[order]
         first_of = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
@@ -189,36 +215,38 @@ def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarra
         owner, hashes = owner[shared], hashes[shared]
         # The bucket stands for the upper bits that were left out.
         hashes = hashes | (np.uint64(k % 65536) << np.uint64(48))
-        # Every set goes on, if only to say that it has nothing here; sets without shared shingles need not.
-        part = _slot(names[owner, 0], buckets).astype(np.int64)
+        part = _part(names, buckets)[owner]
         by_part = np.lexsort((owner, part))
         cuts = np.flatnonzero(np.diff(part[by_part], prepend=-1, append=-2))
         packed = []
         for i, j in zip(cuts, cuts[1:]):
             rows = by_part[i:j]
-            packed.append(_packed(int(part[rows[0]]), sigs, sizes, owner[rows], hashes[rows], ranks[rows], low=False))
+            owners, counts = np.unique(owner[rows], return_counts=True)
+            packed.append(_packed(int(part[rows[0]]), names[owners], counts, hashes[rows], False, ranks=ranks[rows]))
         return pa.Table.from_batches([_rows(packed, "part")])
 
     def gather(table: pa.Table) -> pa.Table:
-        sigs, sizes, owner, hashes, ranks = _unpacked(table, low=False)
-        names, first, same = np.unique(sigs.view("<u8"), axis=0, return_index=True, return_inverse=True)
-        owner = same.ravel()[owner]
+        ids, told, owner, hashes, ranks = _unpacked(table, low=False)
+        names, same = np.unique(ids, return_inverse=True)
+        sizes = np.zeros(len(names), np.int64)
+        sizes[same[told > 0]] = told[told > 0]
+        owner = same[owner]
         rows = np.lexsort((hashes, ranks, owner))
-        owner, hashes, ranks = owner[rows], hashes[rows], ranks[rows]
-        # Hot shingles of copies in several batches arrive more than once.
+        owner, hashes = owner[rows], hashes[rows]
+        # Hot shingles of rows that repeat an id arrive more than once.
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
         owner, hashes = owner[new], hashes[new]
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
-        out: dict[str, list] = {c: [] for c in ("sig", "n", "alone", "tokens", "prefix", "classes")}
+        out: dict[str, list] = {c: [] for c in ("rep", "n", "alone", "tokens", "prefix", "classes")}
         for k in range(len(names)):
             tokens = hashes[ends[k] : ends[k + 1]].view(np.int64)
-            size = int(sizes[first[k]])
+            size = int(sizes[k])
             alone = size - len(tokens)
             reach = size - -(-num * size // den) + 1
             if alone >= reach:
                 continue
-            out["sig"].append(sigs[first[k]].tobytes())
+            out["rep"].append(int(names[k]))
             out["n"].append(size)
             out["alone"].append(alone)
             out["tokens"].append(np.sort(tokens).tolist())
@@ -226,15 +254,15 @@ def shared_shingles(docs: DataFrame, n: int, key: str, text: str, hot: np.ndarra
             out["classes"].append(np.bincount(tokens.view(np.uint64) % np.uint64(CLASSES), minlength=CLASSES).tolist())
         return pa.table(out, schema=_SETS_ARROW)
 
-    placed = docs.select(F.col(key).cast("long"), text).mapInArrow(place, _FORWARD)
+    placed = reps.mapInArrow(place, _FORWARD)
     counted = placed.groupBy("bucket").applyInArrow(count, _FORWARD.replace("bucket", "part"))
     return counted.groupBy("part").applyInArrow(gather, _SETS)
 
 
-_SETS = "sig binary, n int, alone int, tokens array<long>, prefix array<struct<t long, pos int>>, classes array<int>"
+_SETS = "rep long, n int, alone int, tokens array<long>, prefix array<struct<t long, pos int>>, classes array<int>"
 _SETS_ARROW = pa.schema(
     [
-        ("sig", pa.binary()),
+        ("rep", pa.int64()),
         ("n", pa.int32()),
         ("alone", pa.int32()),
         ("tokens", pa.list_(pa.int64())),
@@ -293,8 +321,9 @@ def jaccard_components(
     n_sets, entries = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
     hot = hot_shingles(signed, n_sets)
-    shared = stage(shared_shingles(docs.where(F.col(key).isNotNull()), n, key, text, hot, buckets, threshold), "shared")
-    sets = stage(shared.join(groups.select("sig", "rep"), "sig").drop("sig"), "candidates")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    reps = texts.join(groups.select("rep"), "rep", "left_semi")
+    sets = stage(shared_shingles(reps, n, hot, buckets, threshold), "candidates")
     lists = stage(sets.select(F.explode("prefix").alias("p"), "rep", "n", "alone").select("p.t", "p.pos", "rep", "n", "alone"), "lists")
 
     # Round one: the least edited set of each list; every set is compared with the best of those.
