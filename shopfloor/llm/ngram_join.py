@@ -36,6 +36,8 @@ HOT_SHARE = 0.002
 """Shingles in more than this share of all sets are hot: at most the mean set size / HOT_SHARE of them."""
 REPORTED = 4
 """Sets of one batch that must have a shingle for the batch to report it."""
+COPY_SHARE = 0.0001
+"""Of sets that more than this share of all documents have only one document is placed: at most 1 / COPY_SHARE of them."""
 CLASSES = 16
 _HOT_RANK = 1 << 31
 
@@ -148,12 +150,16 @@ def _slot(values: np.ndarray, slots: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
 
 
-def shared_shingles(reps: DataFrame, n: int, hot: np.ndarray, buckets: int, threshold: tuple[int, int]) -> DataFrame:
-    """Sets that may have a partner: rep, n, alone (shingles no other set has), tokens, prefix (t, pos), classes.
+def shared_shingles(
+    texts: DataFrame, n: int, hot: np.ndarray, copied: dict[bytes, int], buckets: int, threshold: tuple[int, int]
+) -> DataFrame:
+    """Documents that may have a partner: rep, n, alone (shingles of no other document), tokens, prefix (t, pos), classes.
 
-    ``reps`` are (id, text) of one document of each set. ``tokens`` are the
-    shingles that two sets or more have; ``prefix`` those of them among the rarest
-    n - ceil(t n) + 1, with their place in the order.
+    ``texts`` are (id, text); of a signature in ``copied`` only the document named
+    there is placed. Other copies are placed and counted like any document: that
+    changes the order of the shingles, for all in the same way, and nothing else.
+    ``tokens`` are the shingles that two documents or more have; ``prefix`` those
+    of them among the rarest n - ceil(t n) + 1, with their place in the order.
     """
     order = np.argsort(hot)
     hot_sorted = hot[order]
@@ -163,7 +169,7 @@ def shared_shingles(reps: DataFrame, n: int, hot: np.ndarray, buckets: int, thre
         for batch in batches:
             for a, b in batches_of(batch):
                 found = dict(zip(batch.column(0)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), n)))
-                found = {i: found[i] for i in sorted(found) if len(found[i])}
+                found = {i: found[i] for i in sorted(found) if len(found[i]) and copied.get(signature(found[i]), i) == i}
                 if not found:
                     continue
                 ids, sizes = np.array(list(found), np.int64), np.array([len(s) for s in found.values()])
@@ -254,7 +260,7 @@ def shared_shingles(reps: DataFrame, n: int, hot: np.ndarray, buckets: int, thre
             out["classes"].append(np.bincount(tokens.view(np.uint64) % np.uint64(CLASSES), minlength=CLASSES).tolist())
         return pa.table(out, schema=_SETS_ARROW)
 
-    placed = reps.mapInArrow(place, _FORWARD)
+    placed = texts.mapInArrow(place, _FORWARD)
     counted = placed.groupBy("bucket").applyInArrow(count, _FORWARD.replace("bucket", "part"))
     return counted.groupBy("part").applyInArrow(gather, _SETS)
 
@@ -315,15 +321,19 @@ def jaccard_components(
     spark = docs.sparkSession
     signed = stage(signatures(docs, n, key, text), "signatures")
     groups = stage(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")),
+        signed.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("sig")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")),
         "sets",
     )
-    n_sets, entries = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_sets, n_docs, entries = groups.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("copies", F.col("copies") * F.col("n"))]).first()
+    copied = groups.where((F.col("copies") > 1) & (F.col("copies") > COPY_SHARE * n_docs)).select("sig", "rep").collect()
+    copied = {bytes(r["sig"]): r["rep"] for r in copied}
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
     hot = hot_shingles(signed, n_sets)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    reps = texts.join(groups.select("rep"), "rep", "left_semi")
-    sets = stage(shared_shingles(reps, n, hot, buckets, threshold), "candidates")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    shared = shared_shingles(texts, n, hot, copied, buckets, threshold)
+    sets = stage(shared.join(groups.select("rep"), "rep", "left_semi"), "candidates")
     lists = stage(sets.select(F.explode("prefix").alias("p"), "rep", "n", "alone").select("p.t", "p.pos", "rep", "n", "alone"), "lists")
 
     # Round one: the least edited set of each list; every set is compared with the best of those.
