@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -158,19 +158,23 @@ def fit(texts: list[str], languages: list[str], steps: int = STEPS, batch: int =
 
 
 def training_rows(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample of (text, language): about ``per_language`` rows each, drawn by a hash of the text.
+    """A bounded sample of (text, language): at most ``per_language`` distinct texts each, those of the least hashes.
 
     Of long texts a stretch of TRAIN_CHARS characters from a hashed place is used.
+    Copies of a text are drawn once, however many rows hold them.
     """
     usable = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = usable.withColumn("mark", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}
     if not counts:
         return []
-    mark = F.xxhash64("text")
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_language / n))])
-    place = F.pmod(F.shiftright(mark, 20), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))).cast("int") + 1
-    drawn = usable.where(F.pmod(mark, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = drawn.select(F.substring(F.col("text"), place, F.lit(TRAIN_CHARS)).alias("text"), "lang").collect()
+    # Half as many again as are wanted, so that the cut below decides whatever the error of the estimate.
+    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 1.5 * per_language / max(n, 1)))])
+    place = F.pmod(F.shiftright("mark", 20), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))).cast("int") + 1
+    drawn = usable.where(F.pmod("mark", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    drawn = drawn.select("lang", "mark", F.substring(F.col("text"), place, F.lit(TRAIN_CHARS)).alias("text")).distinct()
+    least = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 20)), "mark", "text")
+    rows = drawn.withColumn("at", F.row_number().over(least)).where(F.col("at") <= per_language).select("text", "lang").collect()
     return sorted((r["text"], r["lang"]) for r in rows)
 
 

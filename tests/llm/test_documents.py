@@ -174,6 +174,14 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / 2e-2 - gradient[at]) < 0.1 * abs(gradient[at]) + 1e-3
 
 
+def test_training_rows_are_bounded_whatever_the_copies(spark):
+    rows = [("one and the same text", "en")] * 600 + [(f"text number {k}", "en") for k in range(300)] + [("ein text", "de"), (None, "de"), ("x", None)]
+    drawn = langid.training_rows(spark.createDataFrame(rows, "text string, lang string"), per_language=40)
+    assert len(drawn) == len(set(drawn)) and [sum(l == k for _, l in drawn) for k in ("en", "de")] == [40, 1]
+    everything = langid.training_rows(spark.createDataFrame(rows, "text string, lang string"), per_language=1000)
+    assert len(everything) == 302 and ("one and the same text", "en") in everything
+
+
 def test_language_of_unseen_texts(spark):
     rows = spoken(400)
     found = langid.identify(documents(spark, rows), learn=F.col("doc_id") % 4 != 0).where("doc_id % 4 = 0").collect()
