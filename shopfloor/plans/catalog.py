@@ -832,6 +832,32 @@ def live_monitor_xbar_r(spark: SparkSession, d: str) -> DataFrame:
     return rounded(last.select("last.*").select("stream", *cols))
 
 
+@query
+def live_monitor_event_time(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor by event time, started again for each third of the events as they come.
+
+    Every event comes up to two days after its time, so in another order than it
+    happened. The last state of each chart; the last two days still wait.
+    """
+    events = spark.read.parquet(f"{d}/events.parquet")
+    rows = events.select(F.col("event_type").alias("stream"), F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    delayed = F.unix_timestamp("ts") + F.pmod(F.xxhash64("row_id"), F.lit(2 * 86_400))
+    coming = rows.withColumn("_at", delayed)
+    first, last = coming.agg(F.min("_at"), F.max("_at")).first()
+    third = F.floor(3 * (F.col("_at") - (first or 0)) / ((last or 0) - (first or 0) + 1))
+    base = f"{workspace(spark)}/live-{uuid4().hex}"
+    for k in range(3):
+        coming.where(third == k).drop("_at").write.mode("append").parquet(f"{base}-in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}-in")
+        monitor = monitor_in_batches(stream, 5, base, f"{base}-state", delay="2 days", late=f"{base}-late")
+        monitor.trigger(availableNow=True).start().awaitTermination()
+    last_rows = spark.read.schema(OUTPUT).parquet(base).groupBy("stream").agg(F.max_by(F.struct("*"), "subgroup").alias("last"))
+    late = spark.read.schema(rows.schema).parquet(f"{base}-late").agg(F.count("*"))
+    cols = [F.col("n_points").cast("long"), "center", "sigma_hat", "ucl", "lcl", F.col("violations").cast("long").alias("violation_events")]
+    (late_rows,) = late.first()
+    return rounded(last_rows.select("last.*").select("stream", *cols, F.lit(late_rows).alias("late_rows")))
+
+
 # Files
 
 

@@ -1377,6 +1377,9 @@ def _by_domain() -> dict[str, str]:
     }
 
 
+CHARTED = "ts < (select max(ts) from events where value is not null) - interval '2 days'"
+
+
 def all_sql() -> dict[str, str]:
     made = _by_domain()
     flat_columns = "ID, Process_Step, Component, Function, Failure_Mode, Effect, Severity, Cause, Occurrence, Current_Control, Detection"
@@ -1387,4 +1390,8 @@ def all_sql() -> dict[str, str]:
         "risk_meanings_from_file": made["rating_scale_labels"],
         "plan_export_checked": made["plan_export"],
         "live_monitor_xbar_r": made["live_snapshot_xbar_r"],
+        # What lies two days or more before the last event is charted by then.
+        "live_monitor_event_time": "select *, cast(0 as bigint) as late_rows from ("
+        + made["live_snapshot_xbar_r"].replace("value from events", f"value from events where {CHARTED}")
+        + ")",
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from datetime import datetime
 from uuid import uuid4
 
 import numpy as np
@@ -232,6 +234,33 @@ def advance_charts(
     return charts, after
 
 
+@dataclass(frozen=True)
+class Release:
+    """What one micro-batch lets through: rows to chart, rows to hold, rows that came too late, the new watermark."""
+
+    ready: DataFrame
+    waiting: DataFrame
+    late: DataFrame
+    watermark: datetime | None
+
+
+def released(arrived: DataFrame, waiting: DataFrame, watermark: datetime | None, time: str, delay: str) -> Release:
+    """Sort rows by the watermark, which trails the latest event time seen by ``delay``.
+
+    Arrived rows before the old watermark are late: what lies there is charted
+    already. Of the others and those held so far, rows before the new watermark
+    are ready; the rest waits, as earlier rows may still come. Rows without an
+    event time have no place among the others and count as late.
+    """
+    old = F.lit(watermark).cast(arrived.schema[time].dataType)
+    in_time = F.col(time).isNotNull() & F.coalesce(F.col(time) >= old, F.lit(True))
+    reached = arrived.agg((F.max(time) - F.expr(f"interval {delay}")).cast("timestamp").alias("w")).first()["w"]
+    new = max((w for w in (watermark, reached) if w is not None), default=None)
+    pending = arrived.where(in_time).unionByName(waiting)
+    passed = F.lit(False) if new is None else F.col(time) < F.lit(new).cast(arrived.schema[time].dataType)
+    return Release(pending.where(passed), pending.where(~passed), arrived.where(~in_time), new)
+
+
 def monitor_in_batches(
     measurements: DataFrame,
     subgroup_size: int,
@@ -243,20 +272,43 @@ def monitor_in_batches(
     order: Sequence[str] = ("ts", "row_id"),
     rule_set: str = "we",
     window: int = WINDOW,
+    delay: str | None = None,
+    idle: str | None = None,
+    late: str | None = None,
 ) -> DataStreamWriter:
     """The live monitor for micro-batches of any size and streams of any share of them.
 
     Each batch writes its charts to ``out/batch=N``, and the open subgroup and
     last ``window`` means and ranges of every stream to ``checkpoint/charts/N``;
-    a batch that is run again replaces both. Nothing is dropped as late and no
-    stream is forgotten.
+    a batch that is run again replaces both. Without ``delay`` rows are charted in
+    the batch they come in, nothing is late and no stream is forgotten.
+
+    With ``delay`` (an interval such as ``10 minutes``) rows wait in
+    ``checkpoint/waiting/N`` until the latest event time (the first column of
+    ``order``, a timestamp) is that far ahead, and are charted in ``order``
+    whatever order they came in; what waits is bounded by the rows of one delay.
+    Rows that come after their time was charted go to ``late/batch=N`` and into no
+    chart; the folder is needed, so that none goes unseen. With ``idle`` a stream
+    whose last charted row lies that far behind the watermark is forgotten: if it
+    comes back it begins anew at subgroup 1.
     """
     _checked(subgroup_size, rule_set)
+    if (delay is None) != (late is None):
+        raise ValueError("delay and late go together")
+    if idle and not delay:
+        raise ValueError("idle needs a delay")
     order = list(order)
     spark = measurements.sparkSession
     rows = _present(measurements, stream, order, value)
+    time = order[0]
     kind = rows.schema["stream"].dataType.simpleString()
     held = f"stream {kind}, {STATE}"
+    if delay:
+        held += f", last {rows.schema[time].dataType.simpleString()}"
+    mark = "watermark timestamp"
+
+    def stored(label: str, number: int, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{checkpoint}/{label}/{number}") if number >= 0 else spark.createDataFrame([], schema)
 
     def advance(batch: DataFrame, number: int) -> None:
         with scope() as staged:
@@ -264,18 +316,36 @@ def monitor_in_batches(
             landed = f"{workspace(spark)}/live-rows-{uuid4().hex}"
             batch.write.parquet(landed)
             staged.paths.append(landed)
-            before = spark.read.schema(held).parquet(f"{checkpoint}/charts/{number - 1}") if number else spark.createDataFrame([], held)
+            before = stored("charts", number - 1, held)
             arrived = spark.read.schema(rows.schema).parquet(landed)
-            charts, after = advance_charts(arrived, before, subgroup_size, order, rule_set, window)
+            if delay:
+                seen = stored("watermark", number - 1, mark).first()
+                split = released(arrived, stored("waiting", number - 1, rows.schema), seen and seen[0], time, delay)
+                ready = stage(split.ready, "live-ready")
+                split.late.write.mode("overwrite").parquet(f"{late}/batch={number}")
+                split.waiting.write.mode("overwrite").parquet(f"{checkpoint}/waiting/{number}")
+                spark.createDataFrame([(split.watermark,)], mark).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/watermark/{number}")
+                arrived, known = ready, before.drop("last")
+            else:
+                known = before
+            charts, after = advance_charts(arrived, known, subgroup_size, order, rule_set, window)
+            if delay:
+                ends = arrived.select("stream", F.col(time).alias("last")).unionByName(before.select("stream", "last"))
+                after = join_on(after, ends.groupBy("stream").agg(F.max("last").alias("last")), ["stream"], "left")
+                if idle and split.watermark:
+                    after = after.where(F.col("last") >= F.lit(split.watermark).cast("timestamp") - F.expr(f"interval {idle}"))
             charts.write.mode("overwrite").parquet(f"{out}/batch={number}")
-            after.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/charts/{number}")
+            after.write.mode("overwrite").parquet(f"{checkpoint}/charts/{number}")
             staged.release(spark)
             # The batch before last is committed, so its state is not asked for again.
-            staged.paths.append(f"{checkpoint}/charts/{number - 2}")
+            staged.paths += [f"{checkpoint}/{label}/{number - 2}" for label in (("charts", "waiting", "watermark") if delay else ("charts",))]
             staged.release(spark)
 
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in (out, late):
+        if path:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).mkdirs(folder)
     return rows.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
 
 
