@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, exact verification.
 
-Documents with the same set of shingles are one set from the start. In the
-global order of shingles, rarest first, two sets of similarity t share one of
-the first n - ceil(t n) + 1 shingles of each. A shingle that only one set has
+Documents with the same set of shingles are compared as one set, its smallest id.
+In the global order of shingles, rarest first, two sets of similarity t share one of
+the first n - ceil(t n) + 1 shingles of each. A shingle that only one document has
 matches nothing, so a set with that many such shingles has no partner and is
 out; all that ever returns to the sets are the shingles that two or more have.
 
