@@ -38,6 +38,8 @@ REPORTED = 4
 """Sets of one batch that must have a shingle for the batch to report it."""
 COPY_SHARE = 0.0001
 """Of sets that more than this share of all documents have only one document is placed: at most 1 / COPY_SHARE of them."""
+MARKED_TOGETHER = 1_000_000
+"""Sets whose ids and sizes a task sorts by part at once."""
 CLASSES = 16
 _HOT_RANK = 1 << 31
 
@@ -105,7 +107,10 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _packed(key: int, ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray, low: bool, sizes: np.ndarray | None = None, ranks: np.ndarray | None = None) -> tuple:
-    """One row for the hashes of the sets with these ascending ids: differences of ids, hashes a set, then the hashes."""
+    """One row for the hashes of the sets with these ascending ids: differences of ids, hashes a set, then the hashes.
+
+    A row that tells the sizes of its sets makes them candidates.
+    """
     data = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 6 if low else 8])
     steps = np.diff(ids, prepend=ids[:1]).view(np.uint64)
     return (
@@ -151,13 +156,15 @@ def _slot(values: np.ndarray, slots: int) -> np.ndarray:
 
 
 def shared_shingles(
-    texts: DataFrame, n: int, hot: np.ndarray, copied: dict[bytes, int], buckets: int, threshold: tuple[int, int]
+    texts: DataFrame, reps: DataFrame, n: int, hot: np.ndarray, copied: dict[bytes, int], buckets: int, threshold: tuple[int, int]
 ) -> DataFrame:
-    """Documents that may have a partner: rep, n, alone (shingles of no other document), tokens, prefix (t, pos), classes.
+    """Sets that may have a partner: rep, n, alone (shingles of no other document), tokens, prefix (t, pos), classes.
 
-    ``texts`` are (id, text); of a signature in ``copied`` only the document named
-    there is placed. Other copies are placed and counted like any document: that
-    changes the order of the shingles, for all in the same way, and nothing else.
+    ``texts`` are (id, text), ``reps`` (rep, n) the document that stands for each
+    set and its size; of a signature in ``copied`` only that document is placed.
+    Other copies are placed and counted like any document: that changes the order
+    of the shingles, for all in the same way, and nothing else. The reps go to the
+    parts where sets are put together, so copies end there and no set moves again.
     ``tokens`` are the shingles that two documents or more have; ``prefix`` those
     of them among the rarest n - ceil(t n) + 1, with their place in the order.
     """
@@ -179,16 +186,14 @@ def shared_shingles(
                 at[at == len(hot_sorted)] = 0
                 is_hot = hot_sorted[at] == hashes if len(hot_sorted) else np.zeros(len(hashes), bool)
                 packed = []
-                # The rank of hot ones is known, so they go straight to the part of their set, as does its size.
-                part = _part(ids, buckets)
-                sets, hots = np.argsort(part, kind="stable"), np.flatnonzero(is_hot)
+                # The rank of hot ones is known, so they go straight to the part of their set.
+                part, hots = _part(ids, buckets), np.flatnonzero(is_hot)
                 hots = hots[np.argsort(part[owner[hots]], kind="stable")]
-                parts, starts = np.unique(part[sets], return_index=True)
-                lead = np.searchsorted(part[owner[hots]], [*parts, buckets])
-                many = np.bincount(owner[hots], minlength=len(ids))
-                for k, mine, i, j in zip(parts, np.split(sets, starts[1:]), lead, lead[1:]):
+                cuts = np.flatnonzero(np.diff(part[owner[hots]], prepend=-1, append=-2)) if len(hots) else []
+                for i, j in zip(cuts, cuts[1:]):
                     rows = hots[i:j]
-                    packed.append(_packed(buckets + int(k), ids[mine], many[mine], hashes[rows], False, sizes[mine], order[at[rows]] + _HOT_RANK))
+                    owners, counts = np.unique(owner[rows], return_counts=True)
+                    packed.append(_packed(buckets + int(part[owners[0]]), ids[owners], counts, hashes[rows], False, ranks=order[at[rows]] + _HOT_RANK))
                 owner, hashes = owner[~is_hot], hashes[~is_hot]
                 home = _slot(hashes, buckets).astype(np.int64)
                 by_home = np.argsort(home, kind="stable")
@@ -202,6 +207,27 @@ def shared_shingles(
                         packed = []
                 yield _rows(packed, "bucket")
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+
+        def marked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids, sizes = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(2))
+            part = _part(ids, buckets)
+            rows = np.lexsort((ids, part))
+            cuts = np.flatnonzero(np.diff(part[rows], prepend=-1, append=-2))
+            mine = [rows[i:j] for i, j in zip(cuts, cuts[1:])]
+            return _rows([_packed(int(part[m[0]]), ids[m], np.zeros(len(m), np.uint8), none, False, sizes[m]) for m in mine], "part")
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= MARKED_TOGETHER:
+                yield marked(held)
+                held = []
+        if held:
+            yield marked(held)
+
     def count(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         if k >= buckets:
@@ -235,7 +261,7 @@ def shared_shingles(
         ids, told, owner, hashes, ranks = _unpacked(table, low=False)
         names, same = np.unique(ids, return_inverse=True)
         sizes = np.zeros(len(names), np.int64)
-        sizes[same[told > 0]] = told[told > 0]
+        np.maximum.at(sizes, same, told)
         owner = same[owner]
         rows = np.lexsort((hashes, ranks, owner))
         owner, hashes = owner[rows], hashes[rows]
@@ -250,7 +276,7 @@ def shared_shingles(
             size = int(sizes[k])
             alone = size - len(tokens)
             reach = size - -(-num * size // den) + 1
-            if alone >= reach:
+            if not size or alone >= reach:
                 continue
             out["rep"].append(int(names[k]))
             out["n"].append(size)
@@ -262,7 +288,8 @@ def shared_shingles(
 
     placed = texts.mapInArrow(place, _FORWARD)
     counted = placed.groupBy("bucket").applyInArrow(count, _FORWARD.replace("bucket", "part"))
-    return counted.groupBy("part").applyInArrow(gather, _SETS)
+    marks = reps.select(F.col("rep").cast("long"), F.col("n").cast("long")).mapInArrow(mark, _FORWARD.replace("bucket", "part"))
+    return counted.union(marks).groupBy("part").applyInArrow(gather, _SETS)
 
 
 _SETS = "rep long, n int, alone int, tokens array<long>, prefix array<struct<t long, pos int>>, classes array<int>"
@@ -332,8 +359,7 @@ def jaccard_components(
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
     hot = hot_shingles(signed, n_sets)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    shared = shared_shingles(texts, n, hot, copied, buckets, threshold)
-    sets = stage(shared.join(groups.select("rep"), "rep", "left_semi"), "candidates")
+    sets = stage(shared_shingles(texts, groups.select("rep", "n"), n, hot, copied, buckets, threshold), "candidates")
     lists = stage(sets.select(F.explode("prefix").alias("p"), "rep", "n", "alone").select("p.t", "p.pos", "rep", "n", "alone"), "lists")
 
     # Round one: the least edited set of each list; every set is compared with the best of those.

@@ -62,6 +62,28 @@ def test_join_takes_awkward_rows(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
 
 
+def test_copies_end_where_sets_are_put_together(spark, monkeypatch):
+    """Only the smallest id of a set becomes a candidate, without a join that moves the sets once more."""
+    made, stage = {}, ngram_join.stage
+
+    def seen(frame, label):
+        made[label] = stage(frame, label), frame._jdf.queryExecution().optimizedPlan().toString()
+        return made[label][0]
+
+    monkeypatch.setattr(ngram_join, "stage", seen)
+    monkeypatch.setattr(ngram_join, "COPY_SHARE", 1.0)  # every copy is placed
+    monkeypatch.setattr(ngram_join, "MARKED_TOGETHER", 10)
+    rows = near_copies()
+    docs = documents(spark, [(i, t, "en") for i, t in rows]).repartition(3)
+    assert groups_of(ngram_join.jaccard_components(docs)) == jaccard_groups(rows)
+    sets, plan = made["candidates"]
+    assert "Join" not in plan
+    found = {r.rep: r.n for r in sets.collect()}
+    assert len(found) == sets.count() and set(found) <= {r.rep for r in made["sets"][0].collect()}
+    assert 0 in found and not set(found) & {i for i, t in rows[1:] if t == rows[0][1]}
+    assert all(n == len(shingle_sets([rows[i][1]])[0]) for i, n in found.items())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
