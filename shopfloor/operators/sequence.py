@@ -26,6 +26,8 @@ from shopfloor.sources.staging import stage
 CHUNK_ROWS = "shopfloor.chunkRows"
 LONGEST_LEAD_IN = 14
 _DEFAULTS = {CHUNK_ROWS: 32_768}
+ROWS_A_TASK = 1_000_000
+"""Rows that a task sorts for its windows, about; a chunk stays whole."""
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -36,6 +38,12 @@ def chunk_rows(spark: SparkSession) -> int:
     return max(setting(spark, CHUNK_ROWS), LONGEST_LEAD_IN + 1)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that keep a task's rows bounded. Sizes in bytes do not: sorted rows compress many times over."""
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, usual, -(-rows // ROWS_A_TASK))
+
+
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
@@ -62,25 +70,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: st
     return join_on(rows, groups.hint("rebalance"), keys, how)
 
 
-def dense_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "seq") -> DataFrame:
+def dense_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "seq", tasks: int | None = None) -> DataFrame:
     """Add the 0-based position of each row inside its group.
 
     ``order`` must be total inside a group. The frame is range partitioned by
     (keys, order), staged once (range bounds come from sampling, so a second
     evaluation could cut elsewhere), and the position is the row's place in its
-    partition plus the group's rows in earlier partitions.
+    partition plus the group's rows in earlier partitions. ``tasks`` is the number
+    of ranges where the caller knows how many rows there are.
     """
     keys = list(keys)
     sort = [F.col(k) for k in keys] + _columns(order)
     placed = stage(
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_seq_place", F.monotonically_increasing_id()),
+        df.repartitionByRange(*([tasks] if tasks else []), *sort).sortWithinPartitions(*sort).withColumn("_seq_place", F.monotonically_increasing_id()),
         "sequence",
     ).withColumn("_seq_part", F.shiftright("_seq_place", 33))
-    # One row per (group, range partition) pair: at most groups + partitions rows.
+    # One row per (group, range partition) pair: at most groups + partitions rows. On file their size is known, so the
+    # join need not move the numbered rows while they are few.
     spans = placed.groupBy(*keys, "_seq_part").agg(F.count(F.lit(1)).alias("_seq_rows"), F.min("_seq_place").alias("_seq_head"))
     before = Window.partitionBy(*keys).orderBy("_seq_part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_seq_rows").over(before), F.lit(0))
-    spans = spans.select(*keys, "_seq_part", (start - F.col("_seq_head")).alias("_seq_shift"))
+    spans = stage(spans.select(*keys, "_seq_part", (start - F.col("_seq_head")).alias("_seq_shift")), "spans")
     found = join_on(placed, spans, [*keys, "_seq_part"])
     return found.select(*df.columns, (F.col("_seq_place") + F.col("_seq_shift")).alias(out))
 

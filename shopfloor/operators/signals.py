@@ -18,7 +18,7 @@ from shopfloor.operators import rules as run_rules
 from shopfloor.operators.capability import gated_capability
 from shopfloor.operators.charts import ControlChart, individuals_limits
 from shopfloor.operators.segments import segments
-from shopfloor.operators.sequence import dense_sequence, join_groups, running_sum
+from shopfloor.operators.sequence import dense_sequence, join_groups, running_sum, tasks_for
 from shopfloor.sources.staging import stage
 
 
@@ -105,7 +105,10 @@ def signal_charts(
     """
     keys, carry = list(keys), list(dict.fromkeys(carry))
     rows = df.select(*dict.fromkeys([*keys, "row_id", *carry, "value", *([position] if position else [])]))
-    rows = rows.withColumn("_pos", F.col(position)) if position else dense_sequence(rows, keys, ["row_id"], out="_pos")
+    if position:
+        rows = rows.withColumn("_pos", F.col(position))
+    else:
+        rows = dense_sequence(rows, keys, ["row_id"], out="_pos", tasks=tasks_for(df.sparkSession, df.count()))
     rows = rows.withColumn("value", F.col("value").cast("double"))
     cut = segments(rows.withColumnRenamed("value", "point"), keys, "_pos", "point")
 
@@ -129,6 +132,7 @@ def signal_charts(
         }
     )
     partition = [*keys, "_chunk"]
+    present = present.repartition(cut.tasks, *partition)
     tested = run_rules.with_rules(present, partition, "idx", "point", "center", "sigma_zone", rule_set)
     before = F.lag("point").over(Window.partitionBy(*partition).orderBy("idx"))
     charted = tested.withColumn("previous", before).where("_back = 0")
@@ -151,10 +155,8 @@ def autocorrelation(chart: ControlChart) -> DataFrame:
 def present_runs(df: DataFrame, position: str, keys: Sequence[str] = ("signal",)) -> DataFrame:
     """Number the contiguous runs of present values of each sensor, from 0."""
     cut = segments(df, keys, position, "value")
-    starts = F.when(cut.before().isNull(), 1).otherwise(0)
-    inside = Window.partitionBy(*cut.keys, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    found = cut.with_carried().withColumn("_start", starts)
-    return found.withColumn("run", F.col("_runs") + F.sum("_start").over(inside) - 1).select(*df.columns, "run")
+    run = F.col("_runs") + F.col("_nth_run") - F.col("_joins") - 1
+    return cut.with_carried().withColumn("run", run).select(*df.columns, "run")
 
 
 def signal_capability(df: DataFrame, chart: ControlChart, limits: DataFrame) -> DataFrame:

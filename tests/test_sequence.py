@@ -3,7 +3,7 @@ import re
 
 from conftest import spread, whole
 from pyspark.sql import functions as F
-from shopfloor.operators import signals
+from shopfloor.operators import sequence, signals
 from shopfloor.operators.capability import histogram
 from shopfloor.operators.charts import control_chart, violation_summary
 from shopfloor.operators.normality import shapiro_wilk
@@ -133,3 +133,23 @@ def test_windows_never_run_over_a_whole_stream(spark, mode):
     cut, partition = chunked(rows, ["k"], "idx")
     assert partition == ["k", "_chunk"]
     assert cut.where("_own").count() == 50
+
+
+def test_rows_of_a_task_are_bounded_by_their_number(spark, monkeypatch):
+    """Sorted sensor rows compress many times over, so tasks are cut by rows and not by bytes; segments move them once."""
+    staged, stage = {}, sequence.stage
+    monkeypatch.setattr(sequence, "stage", lambda df, label: staged.setdefault(label, stage(df, label)))
+    monkeypatch.setattr(sequence, "ROWS_A_TASK", 1000)
+    spark.conf.set("shopfloor.chunkRows", "500")
+    try:
+        df = spark.range(40000).select(F.lit("a").alias("k"), F.col("id").alias("row_id"), F.when(F.col("id") % 7 > 0, 5.0).alias("value"))
+        tasks = sequence.tasks_for(spark, df.count())
+        numbered = sequence.dense_sequence(df, ["k"], ["row_id"], out="i", tasks=tasks)
+        sizes = [r["count"] for r in staged["sequence"].groupBy(F.input_file_name()).count().collect()]
+        assert tasks == 40 and max(sizes) <= 2500 and "spans" in staged
+        runs = signals.present_runs(numbered, "i", ["k"])
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Window" not in plan
+        assert {(r.row_id, r.run) for r in runs.collect()} == {(i, i // 7) for i in range(40000) if i % 7}
+    finally:
+        spark.conf.unset("shopfloor.chunkRows")
