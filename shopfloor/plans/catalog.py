@@ -14,7 +14,7 @@ from shopfloor.functions import scoring
 from shopfloor.operators import actions, capability, charts, gage, plan, relational, risk, signals
 from shopfloor.operators.feedback import occurrence_feedback
 from shopfloor.operators.normality import shapiro_wilk
-from shopfloor.operators.sequence import dense_sequence
+from shopfloor.operators.sequence import dense_sequence, tasks_for
 from shopfloor.plans import pipelines, reports, views
 from shopfloor.sources import contracts, export, ingest, scales, sensors
 from shopfloor.sources.staging import stage, workspace
@@ -686,7 +686,8 @@ def signals_violations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def signals_runs(spark: SparkSession, d: str) -> DataFrame:
     """Length of each contiguous run of present readings."""
-    rows = dense_sequence(readings(spark, d), ["signal"], ["row_id"], out="pos")
+    rows = readings(spark, d)
+    rows = dense_sequence(rows, ["signal"], ["row_id"], out="pos", tasks=tasks_for(spark, rows.count()))
     runs = signals.present_runs(rows, "pos")
     return runs.groupBy("signal", "run").agg(F.count(F.lit(1)).alias("n_values"), F.min("row_id").alias("first_row"))
 
