@@ -15,6 +15,8 @@ from shopfloor.llm import langid, ngram_join, packing, pii, rules
 from shopfloor.sources.staging import stage
 
 LEAST_LANGUAGE_SCORE = 0.3
+UNITS_KEPT = 200_000
+"""Words whose ids a worker remembers while it packs: a third of the operator's, beside heaps that other stages have filled."""
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, units_kept=UNITS_KEPT)
 
 
 STAGES = [

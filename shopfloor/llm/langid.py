@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from shopfloor.llm.workers import own_turn
+
 WINDOW = 256
 EMBEDDING = 8
 WIDTHS = (2, 3, 4)
@@ -198,6 +200,7 @@ def identify(
     net = fit([t for t, _ in sample], [l for _, l in sample])
 
     @arrow_udf("lang_pred string, score double")
+    @own_turn()
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             found = list(predicted(net, (t.as_py() for t in part)))

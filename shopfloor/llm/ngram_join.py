@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm.components import components
 from shopfloor.llm.shingles import shingle_sets, signature
+from shopfloor.llm.workers import own_turn
 from shopfloor.sources.staging import stage
 
 BATCH_CHARS = 3_000_000
@@ -60,6 +61,7 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
 def signatures(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """Per row: doc_id, n_shingles, sig; on the first row of a batch also the shingles many of its sets have."""
 
+    @own_turn()
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in batches_of(batch):
@@ -172,6 +174,7 @@ def shared_shingles(
     hot_sorted = hot[order]
     num, den = threshold
 
+    @own_turn()
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in batches_of(batch):
@@ -207,6 +210,7 @@ def shared_shingles(
                         packed = []
                 yield _rows(packed, "bucket")
 
+    @own_turn()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
 

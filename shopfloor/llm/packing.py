@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.units import encoder
+from shopfloor.llm.units import ENCODERS, encoder
+from shopfloor.llm.workers import own_turn
 from shopfloor.sources.staging import stage
 
 CAPACITY = 1024
@@ -91,6 +92,7 @@ def _pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str,
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"],
         )
 
+    @own_turn(ENCODERS)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, end = encoder(tokenizer, units_kept), np.array([end_id], np.uint32)
         leaf = TaskContext.get().partitionId() << _SECTION_BITS
@@ -168,6 +170,7 @@ def pack_documents(
     # Per section: one sequence at most half full and the FAN_IN emptiest others.
     heads = underfull.where("offset = 0").select(F.shiftright("bin", _BIN_BITS).alias("leaf"), "bin", "fill")
 
+    @own_turn()
     def chosen(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in part:
             keep = [group[_passed_on(group, capacity)] for _, group in frame.groupby("leaf")]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from shopfloor.llm.workers import own_turn
 from shopfloor.sources.staging import stage
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -142,6 +143,7 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
     names = ["start", "end", "instance", "kind", "patterns"]
 
     @arrow_udf(f"struct<spans: {_SPANS}, found: {_FOUND}>")
+    @own_turn()
     def scan(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             spans, found = [], []
@@ -235,6 +237,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     extra = extra.withColumnsRenamed({"doc": "_pii_doc", "extra": "_pii_extra"})
 
     @arrow_udf("string")
+    @own_turn()
     def mask(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, more in parts:
             yield pa.array([_replaced(t.as_py(), m.as_py() or []) for t, m in zip(texts, more)], pa.string())

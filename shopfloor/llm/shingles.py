@@ -12,6 +12,8 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 _LONG = 64
 """Bytes; longer words are hashed one by one."""
+_TOGETHER = 400_000
+"""Characters of texts that are hashed together: the arrays made on the way are more than ten times as large."""
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +49,18 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
 
     A text of fewer words has one shingle, the whole of it; none without words.
     """
+    found: list[np.ndarray] = []
+    at = held = 0
+    for k, text in enumerate(texts):
+        size = len(text or "")
+        if k > at and held + size > _TOGETHER:
+            found += _sets(texts[at:k], n)
+            at, held = k, 0
+        held += size
+    return found + _sets(texts[at:], n) if at < len(texts) else found
+
+
+def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     parts = [(t or "").encode("utf-8", "replace") for t in texts]
     data = _LOWER[np.frombuffer(b" ".join(parts) + b" ", np.uint8)]
     ends = np.cumsum([len(p) + 1 for p in parts])

@@ -14,6 +14,8 @@ from itertools import repeat
 
 import numpy as np
 
+from shopfloor.llm.workers import kept
+
 SPACE = "\t-\r \x85\xa0  -     　"
 """Unicode white space, as a regular-expression class body (the tokenizers' ``\\s``)."""
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -21,6 +23,8 @@ _ODD = ["\t", "\v", "\f", "\r", "\0", "  ", "\n\n", " \n", "\n "]
 _ODD_WIDE = [c for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 SLICE = 2_000_000
 """Characters cut into units at a time; longer texts go through in slices."""
+ENCODERS = "encoders"
+"""Name under which a worker keeps its encoders."""
 
 
 def slices(text: str) -> Iterator[list[str]]:
@@ -194,11 +198,9 @@ class UnitEncoder(UnitCache):
         return np.concatenate(ids), np.concatenate(sizes)
 
 
-_encoders: dict[tuple[str, int], UnitEncoder] = {}
-
-
 def encoder(path: str, most_kept: int = 600_000) -> UnitEncoder:
     """This worker's encoder for a tokenizer file, remembering at most so many units."""
-    if (path, most_kept) not in _encoders:
-        _encoders[path, most_kept] = UnitEncoder(path, most_kept, 17 * most_kept)
-    return _encoders[path, most_kept]
+    encoders = kept(ENCODERS)
+    if (path, most_kept) not in encoders:
+        encoders[path, most_kept] = UnitEncoder(path, most_kept, 17 * most_kept)
+    return encoders[path, most_kept]
