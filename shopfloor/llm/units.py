@@ -3,16 +3,20 @@
 A unit is a run of white space and the word after it. The tokenizers used here
 never look back across the start of such a unit, so the ids of a text are the
 ids of its units in order. Words repeat, so each worker keeps a bounded cache.
+New units are often known words beside other signs, so a tokenizer that marks
+word ends is asked for the unknown words only.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import regex
 
 from shopfloor.llm.workers import kept
 
@@ -25,6 +29,26 @@ SLICE = 2_000_000
 """Characters cut into units at a time; longer texts go through in slices."""
 ENCODERS = "encoders"
 """Name under which a worker keeps its encoders."""
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOWERED = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_IN_WORDS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORD}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+"""What a tokenizer file says that lower-cases, drops white space and cuts the rest into words."""
+_LED_WORD = regex.compile(f" ?(?:{_WORD})")
+_LATIN = "!-~À-ÖØ-öø-įı-ž"
+"""Signs that are their own NFC and have one lower-case letter, whatever stands beside them."""
 
 
 def slices(text: str) -> Iterator[list[str]]:
@@ -175,11 +199,72 @@ class UnitEncoder(UnitCache):
         special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.border = special[0].content
         self.border_id = self.tokenizer.token_to_id(self.border)
+        self.ends = self._word_ends()
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([f"[^{_LATIN}]", *added]))
+
+    def _word_ends(self) -> np.ndarray | None:
+        """Which ids end a word; None if the file has no such ids, or cuts texts into other words than ``_WORD``."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix or spec["normalizer"] != _LOWERED or spec["pre_tokenizer"] != _IN_WORDS:
+            return None
+        vocab = spec["model"]["vocab"]
+        if spec["model"].get("ignore_merges") or not all(c in vocab and c + suffix in vocab for c in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        return ends
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units in Latin letters are put together from their words, where the tokenizer marks word ends."""
+        if self.ends is None:
+            return self._between_borders(units)
+        bare = [u[1:] if u[:1] in ("\0", "\n") else u for u in units]
+        plain = np.array([u != "" and not self.odd.search(u) for u in bare], bool)
+        if not plain.any():
+            return self._between_borders(units)
+        ids, sizes = self._by_words([u for u, p in zip(bare, plain) if p])
+        if plain.all():
+            return ids, sizes
+        other_ids, other_sizes = self._between_borders([u for u, p in zip(units, plain) if not p])
+        ids, sizes = np.concatenate([ids, other_ids]), np.concatenate([sizes, other_sizes])
+        starts, place = np.cumsum(sizes) - sizes, np.argsort(np.argsort(~plain, kind="stable"))
+        return ids[ragged(starts[place], sizes[place])], sizes[place]
+
+    def _by_words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units share most of their words, with each other and with the units that are kept: a word has the ids it
+        has as a unit. Only the others go through the library, each once."""
+        led = _LED_WORD.findall(" " + " ".join(units).lower())
+        heads = np.flatnonzero(np.fromiter((w[0] == " " for w in led), bool, len(led)))
+        words = [w[1:] if w[0] == " " else w for w in led]
+        code = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        codes = np.fromiter(map(code.get, words), np.int64, len(words))
+        slots = np.fromiter(map(self.slot.get, code, repeat(-1)), np.int64, len(code))
+        new_ids, new_sizes = self._words([w for w, s in zip(code, slots.tolist()) if s < 0])
+        known = slots[slots >= 0]
+        ids = np.concatenate([self.pool[ragged(self.starts[known], self.sizes[known])], new_ids])
+        sizes = np.concatenate([self.sizes[known], new_sizes])
+        place = np.argsort(np.argsort(slots < 0, kind="stable"))[codes]
+        starts = np.cumsum(sizes) - sizes
+        return ids[ragged(starts[place], sizes[place])], np.add.reduceat(sizes[place], heads)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words go through the library in one text, a space between them: the last id of each marks its end."""
+        texts = (" ".join(words[at : at + 100]) for at in range(0, len(words), 100))
+        found = (self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer did not mark the end of every word")
+        return ids, np.diff(last, prepend=-1)
+
+    def _between_borders(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many units go through the library in one text, with a special token between them: special tokens
         are cut out first, so each unit is encoded as if alone."""
         ids, sizes = [], []

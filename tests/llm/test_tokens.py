@@ -41,6 +41,46 @@ def test_a_full_cache_changes_nothing():
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+class Given:
+    """The library's tokenizer, and the texts that it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode(self, text, **options):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_units_of_known_words_are_put_together():
+    own = UnitEncoder(WORDS)
+    own.encode(["x the river élan 's 7 , ( )."])
+    own.tokenizer = given = Given(own.tokenizer)
+    text = "The river, (the RIVER). Élan's 77 élan,7\nTHE's"
+    assert own.encode([text])[0].tolist() == ids(WORDS, text)
+    assert given.texts == []
+    text = "zqthe, Zqthe zqthe. new(zqthe"
+    assert own.encode([text])[0].tolist() == ids(WORDS, text)
+    assert sorted(" ".join(given.texts).split()) == [".", "new", "zqthe"]
+
+
+def test_latin_letters_and_signs():
+    library, own = Tokenizer.from_file(WORDS), UnitEncoder(WORDS)
+    own.most_kept = 3_000
+    letters = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()]
+    texts = [f"{c}x A{c}b {c} {c}{c}.\n1{c}'{c.upper()}'S H\u0331{c} {c}<|endoftext|>{c} {c}\u0301 '{c}'re" for c in letters]
+    rng = random.Random(8)
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(12)) for _ in range(500)]
+    for text, found in zip(texts, own.encode(texts)):
+        assert found.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts:
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_codec_equals_the_library():
     library, own = Tokenizer.from_file(WORDS), bpe.codec(WORDS)
     rng = random.Random(5)
